@@ -1,6 +1,6 @@
 """The engine's operators as queries over the driver's tables, each with its SQL."""
 
-from checks import model_queries
+from checks import model_queries, screen_queries
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

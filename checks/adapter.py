@@ -210,7 +210,9 @@ def traded_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_partkey").alias("l_partkey"),
         F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("b"),
     )
-    lines = _read(spark, folder, "lineitem").select("l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_tax")
+    lines = _read(spark, folder, "lineitem").select(
+        "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_tax", "l_orderkey", "l_linenumber"
+    )
     return lines.join(part, "l_partkey").withColumn("day", _shifted("l_shipdate"))
 
 
@@ -346,6 +348,132 @@ def ticker_fallbacks(brands: DataFrame) -> DataFrame:
     )
 
 
+def raw_ftd(traded: DataFrame) -> DataFrame:
+    """Every line as a line of a fails-to-deliver file, some without a symbol or a readable date."""
+    b, day = F.col("b"), F.col("day")
+    half = F.when(F.dayofmonth(day) <= 15, "a").otherwise("b")
+    return traded.select(
+        F.when(F.col("l_orderkey") % 61 == 0, "n/a").otherwise(F.date_format(day, "yyyyMMdd")).alias("settlement_date"),
+        F.when(F.col("l_linenumber") == 2, F.lower(code_of(b, day))).otherwise(code_of(b, day)).alias("cusip"),
+        F.when(F.col("l_orderkey") % 50 == 0, " ").otherwise(symbol_of(b)).alias("symbol"),
+        F.col("l_quantity").cast("bigint").cast("string").alias("quantity"),
+        F.concat(F.lit("BRAND "), b.cast("string")).alias("description"),
+        F.lit(".").alias("price"),
+        F.concat(F.lit("cnsfails"), F.date_format(day, "yyyyMM"), half, F.lit(".zip")).alias("source_file"),
+    )
+
+
+def lookup_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Per part, an answer of the lookup service as its JSON text, in each of its shapes."""
+    key = F.col("p_partkey").cast("string")
+    listing = lambda exchange, ticker: F.concat(
+        F.lit('{"ticker":"'), ticker, F.lit('","name":"'), F.upper("p_name"), F.lit('","exchCode":"'), F.lit(exchange),
+        F.lit('","securityType":"Common Stock","figi":"BBG'), F.lpad(key, 9, "0"), F.lit('"}'),
+    )
+    shape = F.col("p_partkey") % 7
+    text = (
+        F.when(shape == 0, '{"warning":"No identifier found."}')
+        .when(shape == 1, '{"error":"Invalid idValue format."}')
+        .when(shape == 2, '{"error":"Too many requests."}')
+        .when(shape == 3, '{"data":[]}')
+        .when(shape == 4, F.concat(F.lit('{"data":['), listing("LN", F.concat(F.lit("L"), key)), F.lit("]}")))
+        .otherwise(
+            F.concat(
+                F.lit('{"data":['), listing("LN", F.concat(F.lit("L"), key)), F.lit(","),
+                listing("US", F.concat(F.lit("U"), key)), F.lit("]}"),
+            )
+        )
+    )
+    return _read(spark, folder, "part").select(
+        F.lpad(key, 9, "0").alias("cusip"), F.lit("ID_CUSIP").alias("id_type"), F.lpad(key, 9, "0").alias("id_value"),
+        text.alias("response"), F.to_timestamp(F.lit("2026-10-01 00:00:00")).alias("fetched_at"),
+    )
+
+
+def lookup_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """Per part, how far the lookup got: never asked, or one of the stages."""
+    stages = F.array(
+        *map(F.lit, ("ID_CUSIP", "INVALID_CUSIP", "ANY_EXCHANGE", "ID_BB_GLOBAL", "FILER_FIGI_AS_SHARE_CLASS",
+                     "ID_BB_GLOBAL_SHARE_CLASS_LEVEL", "ID_CINS")),
+    )
+    n = F.col("p_partkey")
+    return part_securities(spark, folder).join(
+        _read(spark, folder, "part").where(n % 4 != 0).select(
+            F.lpad(n.cast("string"), 6, "0").alias("key"), (n % 5 == 0).alias("found"),
+            F.element_at(stages, (n % 7 + 1).cast("int")).alias("id_type"),
+        ),
+        "key",
+    ).select("cusip", "id_type", "found")
+
+
+def part_securities(spark: SparkSession, folder: str) -> DataFrame:
+    """Per part, an identifier (some with a wrong check digit, some foreign), a FIGI and a name."""
+    n = F.col("p_partkey")
+    key = F.lpad(n.cast("string"), 6, "0")
+    base = F.concat(F.when(n % 11 == 0, F.concat(F.lit("G"), F.substring(key, 2, 5))).otherwise(key), F.lit("10"))
+    code = F.concat(base, ((check_digit(base) + F.when(n % 9 == 0, 1).otherwise(0)) % 10).cast("string"))
+    figi = F.when(n % 3 == 0, F.concat(F.lit("BBG"), F.lpad(n.cast("string"), 9, "0"))).when(n % 3 == 1, "n/a")
+    return _read(spark, folder, "part").select(
+        key.alias("key"), code.alias("cusip"), F.concat(F.lit("S"), F.floor(n / 2).cast("string")).alias("stock"),
+        figi.alias("figi"), issuer_name(n, F.col("p_name")).alias("name_filed"),
+        F.make_date(F.lit(2026), (n % 4 * 3 + 3).cast("int"), F.lit(28)).alias("latest_period"),
+    )
+
+
+# Endings filers add to a company's name.
+NAME_ENDINGS = (
+    " INC", " CORP CL A", " CORP /DE/", " & SONS LTD", " N V", " P L C", " CO NEW", " Holdings, Inc.", " COM",
+    " CAP STK", " CLASS B COM STK", " SER 1", " GROUP LLC DEL", " S.A. SPONSORED ADR", " TRUST", " L P", " N.V.",
+)
+
+
+def issuer_name(key: Column, name: Column) -> Column:
+    """A company name as filers write it: a number in words' place keeps most of them apart."""
+    ending = F.element_at(F.array(*map(F.lit, NAME_ENDINGS)), (key % len(NAME_ENDINGS) + 1).cast("int"))
+    front = F.when(key % 5 == 0, "The ").when(key % 7 == 0, "U.S. ").when(key % 11 == 0, "O'Neil ").otherwise("")
+    return F.concat(front, F.upper(name), F.lit(" "), F.floor(key / 3).cast("string"), ending)
+
+
+def part_companies(spark: SparkSession, folder: str) -> DataFrame:
+    """Per part, a listed company whose title spells the same name its own way."""
+    n = F.col("p_partkey")
+    front = F.when(n % 7 == 0, "US ").when(n % 11 == 0, "ONeil ").otherwise("")
+    return _read(spark, folder, "part").where(n % 3 == 0).select(
+        n.alias("cik"),
+        F.concat(F.lit("T"), n.cast("string")).alias("ticker"),
+        F.concat(front, F.initcap("p_name"), F.lit(" "), F.floor(n / 3).cast("string"), F.lit(" Corp.")).alias("title"),
+    )
+
+
+def request_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a request to one of the sources."""
+    names = F.array(*map(F.lit, ("sec", "sec-xbrl", "openfigi", "sec-ftd", "stooq", "polygon", "tiingo")))
+    kind = F.col("event_type")
+    # One source answers badly, so that it shows as unreliable.
+    source = F.element_at(names, (F.col("user_id") % 7 + 1).cast("int"))
+    outcome = (
+        F.when((F.col("user_id") % 7).isin(1, 2, 3) & (kind != "click"), "failed")
+        .when(kind == "error", "failed")
+        .when(kind == "signup", "throttled")
+        .otherwise("ok")
+    )
+    return _read(spark, folder, "events").select(
+        "event_id", source.alias("source"), F.col("ts").alias("at"), outcome.alias("outcome"),
+        F.when(outcome != "ok", F.concat(F.lit("HTTP "), F.col("props"))).alias("error"),
+    )
+
+
+def watchlist(brands: DataFrame) -> DataFrame:
+    """Watched codes: newest and replaced ones, and one per tenth brand that nobody reports."""
+    b = F.col("b")
+    rows = brands.where(b % 3 == 0).select(code_of(b, F.to_date(F.lit(_NEWEST))).alias("cusip"), b.alias("line_no"))
+    old = brands.where(b.isin(3, 7, 11)).select(
+        code_of(b, F.to_date(F.lit("2020-03-31"))).alias("cusip"), (b + 100).alias("line_no")
+    )
+    unknown = brands.where(b % 10 == 0).select(F.concat(F.lit("NONE"), F.lpad(b.cast("string"), 5, "0")).alias("cusip"), (b + 200).alias("line_no"))
+    return rows.unionByName(old).unionByName(unknown).select("cusip", F.lit("").alias("ticker"), F.lit("").alias("name"), "line_no")
+
+
 def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     filed = filed_orders(spark, folder)
     traded = traded_lines(spark, folder)
@@ -360,4 +488,7 @@ def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "raw_sec_tickers": raw_sec_tickers(kinds),
         "openfigi": openfigi(kinds),
         "ticker_fallbacks": ticker_fallbacks(kinds),
+        "raw_ftd": raw_ftd(traded),
+        "watchlist": watchlist(kinds),
+        "part_securities": part_securities(spark, folder),
     }
