@@ -1,7 +1,7 @@
 """The driver's tables as raw filing tables, in Spark.
 
 An order is a filing, its lines are the holding lines, thirty customers are one manager, a brand is
-a security. Dates move 25 years on, so that filings fall on both sides of the day values changed
+a security. Dates move 25 years and 60 days on, so that filings fall on both sides of the day values changed
 from thousands to dollars. Nothing is left out: every order and line becomes a raw row.
 `checks/oracle.py` states the same mapping in SQL.
 """
@@ -15,11 +15,12 @@ from tidegauge.functions.dates import quarter_end
 from tidegauge.functions.text import check_digit
 
 SHIFT_MONTHS = 300
+SHIFT_DAYS = 60  # so that the last quarter is a whole one
 CUSTOMERS_PER_MANAGER = 30
 
 
 def _shifted(column: str) -> Column:
-    return F.add_months(F.col(column).cast("date"), SHIFT_MONTHS)
+    return F.date_add(F.add_months(F.col(column).cast("date"), SHIFT_MONTHS), SHIFT_DAYS)
 
 
 def _text_date(day: Column) -> Column:
@@ -244,7 +245,7 @@ def raw_prices(traded: DataFrame) -> DataFrame:
 def raw_xbrl_frames(traded: DataFrame) -> DataFrame:
     """Company facts per brand and calendar year, scaled to what was traded."""
     b = F.col("b")
-    yearly = traded.groupBy("b", F.year("day").alias("y")).agg(F.sum("l_quantity").alias("q"))
+    yearly = traded.groupBy("b", F.least(F.year("day"), F.lit(2026)).alias("y")).agg(F.sum("l_quantity").alias("q"))
     ends = F.when(b % 2 == 1, F.make_date("y", F.lit(9), F.lit(30))).otherwise(F.make_date("y", F.lit(12), F.lit(31)))
     rows = yearly.withColumn("fiscal_end", ends).withColumn("y", F.col("y").cast("bigint"))
     q, y = F.col("q"), F.col("y")
@@ -441,7 +442,7 @@ def part_companies(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "part").where(n % 3 == 0).select(
         n.alias("cik"),
         F.concat(F.lit("T"), n.cast("string")).alias("ticker"),
-        F.concat(front, F.initcap("p_name"), F.lit(" "), F.floor(n / 3).cast("string"), F.lit(" Corp.")).alias("title"),
+        F.concat(front, F.upper(F.left("p_name", F.lit(1))), F.substring("p_name", 2, 1000), F.lit(" "), F.floor(n / 3).cast("string"), F.lit(" Corp.")).alias("title"),
     )
 
 

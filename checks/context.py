@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,37 @@ _MODELS: dict[tuple[str, str], "CheckModel"] = {}
 class CheckModel(Model):
     """A model whose raw tables are the driver's, mapped and written on first use."""
 
+    folder: str = ""
+
     def table(self, name: str) -> DataFrame:
         plans = self.__dict__.setdefault("_raw_plans", {})
         if name in plans and name not in self.raw:
             self.raw[name] = write_table(plans[name], f"{self.path}/{name}")
         return super().table(name)
 
+    def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A read's result written once, for the reads that start from it."""
+        if name not in self.tables:
+            self.tables[name] = write_table(build(), f"{self.path}/read-{name}")
+        return self.tables[name]
+
+    def exported(self, name: str, write: Callable[[str], None]) -> str:
+        """A folder written once by `write`."""
+        done = self.__dict__.setdefault("_exports", set())
+        path = f"{self.path}/export-{name}"
+        if name not in done:
+            write(path)
+            done.add(name)
+        return path
+
+    def source(self, name: str) -> DataFrame:
+        """One of the driver's tables."""
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    @property
+    def part(self) -> DataFrame:
+        return self.source("part")
+
 
 def model(spark: SparkSession, folder: str) -> CheckModel:
     app = spark.sparkContext.applicationId
@@ -33,6 +59,7 @@ def model(spark: SparkSession, folder: str) -> CheckModel:
     if key not in _MODELS:
         mark = hashlib.sha256(folder.encode()).hexdigest()[:12]
         made = CheckModel(spark, {}, f"{shared_folder(spark)}/tidegauge-{app}/{mark}", PARAMS)
+        made.folder = folder
         made.__dict__["_raw_plans"] = adapter.raw_tables(spark, folder)
         _MODELS[key] = made
     return _MODELS[key]

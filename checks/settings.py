@@ -10,6 +10,9 @@ PARAMS = Params(
     median_min_funds=10,
     min_funds=10,
     min_positions=3,
+    min_yield=0.01,
+    min_streak=1,
+    shares_agree=3.0,
 )
 
 # Floating columns in dollars or shares, compared to the hundredth; others to the millionth.

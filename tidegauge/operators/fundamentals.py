@@ -170,7 +170,7 @@ def frame_worklist(days: DataFrame, loaded: DataFrame | None = None) -> DataFram
     for the last twelve quarters; those already loaded (taxonomy, tag, unit, frame) are left out."""
     spark = days.sparkSession
     struct = lambda c: F.struct(*(F.lit(x).alias(n) for x, n in zip(c[1:], ("taxonomy", "tag", "unit"))))
-    years = F.sequence(F.lit(FIRST_FISCAL_YEAR), F.year("today"))
+    years = F.when(F.year("today") >= FIRST_FISCAL_YEAR, F.sequence(F.lit(FIRST_FISCAL_YEAR), F.year("today")))
     quarters = F.transform(
         F.sequence(F.lit(0), F.lit(INSTANT_QUARTERS - 1)), lambda n: F.add_months(F.trunc("today", "quarter"), n * -3)
     )

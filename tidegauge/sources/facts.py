@@ -14,9 +14,9 @@ FRAME_SCHEMA = (
 )
 
 
-def scan_xbrl_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Fact rows of every frame document in a folder."""
-    documents = spark.read.schema(FRAME_SCHEMA).option("multiLine", True).json(path)
+def scan_xbrl_frames(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Fact rows of every frame document in a folder: one a file as published, or one a line."""
+    documents = spark.read.schema(FRAME_SCHEMA).option("multiLine", multi_line).json(path)
     rows = documents.select(file_name().alias("source_file"), "taxonomy", "tag", "uom", "ccp", F.inline("data"))
     return rows.select(
         "source_file", "taxonomy", "tag", F.col("uom").alias("unit"), F.col("ccp").alias("frame"), "accn", "cik",
