@@ -1,6 +1,6 @@
 """The driver's tables as raw filing tables, in Spark.
 
-An order is a filing, its lines are the holding lines, thirty customers are one manager, a brand is
+An order is a filing, its lines are the holding lines, fifty customers are one manager, a brand is
 a security. Dates move 25 years and 60 days on, so that filings fall on both sides of the day values changed
 from thousands to dollars. Nothing is left out: every order and line becomes a raw row.
 `checks/oracle.py` states the same mapping in SQL.
@@ -16,7 +16,7 @@ from tidegauge.functions.text import check_digit
 
 SHIFT_MONTHS = 300
 SHIFT_DAYS = 60  # so that the last quarter is a whole one
-CUSTOMERS_PER_MANAGER = 30
+CUSTOMERS_PER_MANAGER = 50
 
 
 def _shifted(column: str) -> Column:

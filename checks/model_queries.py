@@ -23,6 +23,7 @@ MODEL_FLOATS = {
     "filing_parts": "",
     "filings": "",
     "managers": "",
+    "position_sums": "",
     "positions": _POSITION_FLOATS,
     "price_check": _POSITION_FLOATS,
     "cusip_holders": "",

@@ -374,26 +374,19 @@ SELECT stock, period, count(*) FILTER (action NOT IN ('hold', 'incomplete', 'not
 FROM manager_moves GROUP BY stock, period
 """,
 )(lambda m: reads.moves_summary(_kept_moves(m)))
+# Whole lists are sorted over all tasks, never ranked group by group.
 check(
     "move_order",
-    """
-SELECT stock, period, cik, row_number() OVER (PARTITION BY stock, period ORDER BY flow IS NULL, abs(coalesce(flow, 0)) DESC,
-    coalesce(value_now, 0) DESC, cik) AS place
-FROM manager_moves WHERE action NOT IN ('hold', 'incomplete', 'not filed')
+    f"""
+SELECT stock, period, cik, action, {cut("flow", "flow")} FROM manager_moves WHERE action NOT IN ('hold', 'incomplete', 'not filed')
+ORDER BY stock, period, flow IS NULL, abs(coalesce(manager_moves.flow, 0)) DESC
 """,
 )(
     lambda m: _kept_moves(m)
     .where(~F.col("action").isin("hold", "incomplete", "not filed"))
-    .select("stock", "period", "cik", _place(["stock", "period"], reads.move_order()).alias("place"))
+    .orderBy("stock", "period", *reads.move_order())
+    .select("stock", "period", "cik", "action", "flow")
 )
-
-
-def _place(keys: list[str], order: list):
-    from pyspark.sql import Window
-
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-
-
 check(
     "top_flows_two_sided",
     f"""
@@ -443,13 +436,11 @@ def _kept_book(m: CheckModel) -> DataFrame:
 
 check("book_headers", "SELECT * FROM book_headers")(_headers)
 check("manager_book", rounded("manager_book", "shares_prev shares_now weight_prev weight_now flow"))(_book)
-check(
-    "book_order",
-    """
-SELECT cik, period, cusip, row_number() OVER (PARTITION BY cik, period ORDER BY shares_now IS NULL,
-    CASE WHEN coalesce(value_now, 0) <> 0 THEN value_now ELSE coalesce(value_prev, 0) END DESC, cusip) AS place FROM manager_book
-""",
-)(lambda m: _kept_book(m).select("cik", "period", "cusip", _place(["cik", "period"], reads.book_order()).alias("place")))
+check("book_order", "SELECT cik, period, cusip, action, value_now FROM manager_book")(
+    lambda m: _kept_book(m)
+    .orderBy("cik", "period", *reads.book_order())
+    .select("cik", "period", "cusip", "action", "value_now")
+)
 check(
     "manager_periods",
     "SELECT cik, list(period ORDER BY period) AS periods, max(period) AS default_period FROM manager_totals GROUP BY cik",

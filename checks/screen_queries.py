@@ -111,16 +111,24 @@ SELECT y.symbol FROM stock_symbols y WHERE y.symbol <> '' AND (
 )(_wanted)
 
 
+# The lists, their picks and the results are written as they are drawn, each step reading the last.
+
+
 def _open_lists(m: CheckModel) -> DataFrame:
     return backtest.backtest_lists(_lists(m), m.table("raw_prices"), P)
 
 
+def _kept_lists(m: CheckModel) -> DataFrame:
+    return m.derived("backtest_lists", lambda: _open_lists(m))
+
+
 def _results(m: CheckModel) -> DataFrame:
-    return backtest.backtest_picks(_open_lists(m), _past(m), m.table("raw_prices"), P)
+    picks = m.derived("past_picks", lambda: _past(m))
+    return backtest.backtest_picks(_kept_lists(m), picks, m.table("raw_prices"), P)
 
 
 def _quarters(m: CheckModel) -> DataFrame:
-    return backtest.backtest_quarters(_open_lists(m), _results(m), P)
+    return backtest.backtest_quarters(_kept_lists(m), m.derived("backtest_picks", lambda: _results(m)), P)
 
 
 check("backtest_lists", rounded("backtest_lists", "market_ret"))(_open_lists)

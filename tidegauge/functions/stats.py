@@ -10,9 +10,10 @@ _BUCKETS_PER_E = 128
 
 
 def _bucket(value: Column) -> Column:
-    """A bucket number that never decreases as the value grows."""
+    """A bucket number that never decreases as the value grows. Never NULL, so that no null filter
+    keeps Spark from reusing one shuffle for both passes over the counted values."""
     size = F.floor(F.log(F.abs(value)) * _BUCKETS_PER_E) + F.lit(1_000_000)
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+    return F.coalesce(F.when(value > 0, size).when(value < 0, -size), F.lit(0)).cast("long")
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None) -> DataFrame:

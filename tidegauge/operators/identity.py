@@ -40,13 +40,16 @@ def cusip_moves(
         "cik", F.col("next_period").alias("period"), "cusip", "shares", "value"
     )
     filed = filings.where(F.col("lines") > 0).select("cik", "period")
+    # Both sides of each comparison are cut to the candidate identifiers first, so that the joins
+    # on (manager, period, identifier) never move the whole positions table.
+    of = lambda rows, candidates: rows.join(candidates.select("cusip", "period"), ["cusip", "period"], "left_semi")
     departed = (
-        held_before.join(shrunk.select("cusip", "period"), ["cusip", "period"], "left_semi")
+        of(held_before, shrunk)
         .join(filed, ["cik", "period"], "left_semi")
-        .join(held, ["cik", "period", "cusip"], "left_anti")
+        .join(of(held.select("cik", "period", "cusip"), shrunk), ["cik", "period", "cusip"], "left_anti")
     )
-    arrived = held.join(grown.select("cusip", "period"), ["cusip", "period"], "left_semi").join(
-        held_before, ["cik", "period", "cusip"], "left_anti"
+    arrived = of(held, grown).join(
+        of(held_before.select("cik", "period", "cusip"), grown), ["cik", "period", "cusip"], "left_anti"
     )
     departures = departed.groupBy("period", F.col("cusip").alias("old_cusip")).agg(F.count(F.lit(1)).alias("departed"))
     arrivals = arrived.groupBy("period", F.col("cusip").alias("new_cusip")).agg(F.count(F.lit(1)).alias("arrived"))

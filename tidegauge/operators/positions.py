@@ -18,8 +18,11 @@ def share_lines(raw_infotable: DataFrame) -> DataFrame:
     )
 
 
-def positions(filing_parts: DataFrame, raw_infotable: DataFrame, p: Params = Params()) -> DataFrame:
-    """Shares and value per manager, identifier and period, with the implied-price check."""
+def position_sums(filing_parts: DataFrame, raw_infotable: DataFrame) -> DataFrame:
+    """Shares and value each manager reported of each identifier in each period.
+
+    The one pass over the holding lines: write it before `positions`, which reads it several
+    times over for the medians."""
     lines = share_lines(raw_infotable).select(
         F.col("ACCESSION_NUMBER").alias("accession"),
         F.col("CUSIP").alias("cusip"),
@@ -27,7 +30,7 @@ def positions(filing_parts: DataFrame, raw_infotable: DataFrame, p: Params = Par
         whole_number(F.col("VALUE")).alias("value"),
     )
     in_use = filing_parts.select("accession", "cik", "period", "value_multiplier")
-    summed = (
+    return (
         lines.join(in_use, "accession")
         .groupBy("cik", "period", "cusip")
         .agg(
@@ -36,7 +39,11 @@ def positions(filing_parts: DataFrame, raw_infotable: DataFrame, p: Params = Par
             F.count(F.lit(1)).alias("lines"),
         )
     )
-    priced = summed.withColumn(
+
+
+def positions(position_sums: DataFrame, p: Params = Params()) -> DataFrame:
+    """Positions with the implied-price check: value per share against the market-wide median."""
+    priced = position_sums.withColumn(
         "implied_price", F.when(F.col("shares") > 0, F.col("value").cast("double") / F.col("shares"))
     )
     medians = exact_median(priced, ["cusip", "period"], "implied_price", "median_price")

@@ -38,7 +38,8 @@ STEPS: dict[str, Step] = {
     "filing_parts": Step(filings.filing_parts, ("submissions", "periods"), "period"),
     "filings": Step(filings.filings, ("filing_parts", "submissions", "raw_infotable"), "period"),
     "managers": Step(filings.managers, ("submissions",)),
-    "positions": Step(positions.positions, ("filing_parts", "raw_infotable"), "period", True),
+    "position_sums": Step(positions.position_sums, ("filing_parts", "raw_infotable"), "period"),
+    "positions": Step(positions.positions, ("position_sums",), "period", True),
     "price_check": Step(positions.price_check, ("positions", "filings"), "period"),
     "cusip_holders": Step(positions.cusip_holders, ("positions",)),
     "cusip_moves": Step(identity.cusip_moves, ("periods", "cusip_holders", "positions", "filings"), None, True),
