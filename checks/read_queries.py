@@ -139,15 +139,16 @@ FROM {ISSUER_SQL}
 """,
 )(lambda m: _issuers(m).select("p_partkey", text.name_search_key(F.col("name")).alias("key")))
 _CAPITALS = "(" + ", ".join(f"'{w}'" for w in text.CAPITAL_WORDS) + ")"
-check(
-    "display_name",
-    f"""
-SELECT p_partkey, array_to_string([CASE WHEN regexp_replace(upper(w), '[^A-Z&]', '', 'g') IN {_CAPITALS} THEN upper(w)
+
+
+def display_sql(name: str) -> str:
+    """A filed name in title case, word by word."""
+    return f"""array_to_string([CASE WHEN regexp_replace(upper(w), '[^A-Z&]', '', 'g') IN {_CAPITALS} THEN upper(w)
     WHEN regexp_matches(w, '[0-9]') THEN w ELSE upper(w[1]) || lower(w[2:]) END
-    FOR w IN regexp_split_to_array(trim(name), '\\s+')], ' ') AS shown
-FROM {ISSUER_SQL}
-""",
-)(
+    FOR w IN regexp_split_to_array(trim({name}), '\\s+')], ' ')"""
+
+
+check("display_name", f"SELECT p_partkey, {display_sql('name')} AS shown FROM {ISSUER_SQL}")(
     lambda m: _issuers(m).select(
         "p_partkey", text.display_name(F.col("name"), F.lit(None).cast("string")).alias("shown")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import adapter
 from checks.context import CheckModel
 from checks.oracle import cut, digit_of, rounded, symbol_of, table
-from checks.read_queries import ISSUER_SQL, _kept_book, _moves, issuer_key_sql
+from checks.read_queries import ISSUER_SQL, _kept_book, _moves, display_sql, issuer_key_sql
 from checks.registry import check
 from tidegauge.operators import fundamentals, quality, reads, resolve
 from tidegauge.sources import fails, filings, prices, sinks
@@ -464,8 +464,8 @@ GROUP BY symbol, source
 
 check(
     "export_book_csv",
-    """
-SELECT cik, period, replace(coalesce(ticker, ''), '/', '.') AS ticker, coalesce(name_mixed, cusip) AS name, coalesce(title_of_class, '') AS class,
+    f"""
+SELECT cik, period, replace(coalesce(ticker, ''), '/', '.') AS ticker, coalesce(name_mixed, {display_sql('name_filed')}, cusip) AS name, coalesce(title_of_class, '') AS class,
        cusip, kind, coalesce(CAST(nullif(value_now, 0) AS VARCHAR), '') AS value_usd,
        CAST(CAST(round_even(coalesce(shares_now, 0), 0) AS BIGINT) AS VARCHAR) AS shares,
        CAST(CAST(round_even(coalesce(shares_prev, 0), 0) AS BIGINT) AS VARCHAR) AS shares_before, action AS change
