@@ -32,11 +32,11 @@ def replace_frames(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.join(new.select("source_file").distinct(), "source_file", "left_anti").unionByName(new)
 
 
-def scan_keyed_json(spark: SparkSession, path: str) -> DataFrame:
-    """Companies of a list document whose keys carry no meaning."""
+def scan_keyed_json(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Companies of list documents whose keys carry no meaning: one a file as published, or one a line."""
     entries = F.from_json("value", "map<string, struct<cik_str: bigint, ticker: string, title: string>>")
     return (
-        spark.read.text(path, wholetext=True)
+        spark.read.text(path, wholetext=whole_files)
         .select(F.explode(F.map_values(entries)).alias("c"))
         .select(F.col("c.cik_str").alias("cik"), "c.ticker", "c.title")
     )

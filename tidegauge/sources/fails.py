@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.sources.filings import file_name
@@ -21,6 +21,7 @@ def scan_ftd_pipe(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         spark.read.schema(SCHEMA)
         .option("sep", "|").option("header", True).option("enforceSchema", True)
         .option("quote", "").option("escape", "").option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE")
+        .option("recursiveFileLookup", True)
         .csv(paths)
     )
     return rows.select("*", file_name().alias("source_file"))
@@ -33,7 +34,7 @@ def _is_trailer():
 def ftd_file_audit(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Per file: accepted, or why not. The header must be the documented one, every line must have
     been read, and the data rows must be as many as the trailer counts."""
-    lines = spark.read.option("encoding", "ISO-8859-1").text(paths).select(
+    lines = spark.read.option("encoding", "ISO-8859-1").option("recursiveFileLookup", True).text(paths).select(
         file_name().alias("source_file"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line")
     )
     counted = F.regexp_extract("line", r"(?i)^Trailer record count\s+(\d+)$", 1)
@@ -93,6 +94,3 @@ def newest_months(names: DataFrame, months: int = MONTHS) -> DataFrame:
         .orderBy("month", "half")
     )
 
-
-def latest_file_order() -> Window:
-    return Window.orderBy("month", "half")

@@ -11,24 +11,28 @@ REFRESH_HOURS = 20
 
 
 def _symbol() -> Column:
-    return F.regexp_replace(file_name(), r"\.[A-Za-z]+$", "")
+    """The symbol a file is named after, or the `symbol=` folder that holds it."""
+    folder = F.nullif(F.regexp_extract("_metadata.file_path", "/symbol=([^/]+)/", 1), F.lit(""))
+    return F.coalesce(folder, F.regexp_replace(file_name(), r"\.[A-Za-z]+$", ""))
 
 
 def scan_prices_csv(spark: SparkSession, path: str, source: str = "stooq") -> DataFrame:
     """Date,Open,High,Low,Close,Volume files, one per symbol."""
     rows = spark.read.schema(
         "day date, open double, high double, low double, close double, volume double"
-    ).csv(path, header=True, mode="FAILFAST")
+    ).csv(path, header=True, mode="FAILFAST", recursiveFileLookup=True)
     return rows.select(
         _symbol().alias("symbol"), "day", "open", "high", "low", "close", "volume", F.lit(source).alias("source"),
         file_name().alias("source_file"),
     )
 
 
-def scan_prices_bars_json(spark: SparkSession, path: str, source: str = "polygon") -> DataFrame:
-    """Documents with a list of bars stamped in milliseconds."""
+def scan_prices_bars_json(
+    spark: SparkSession, path: str, source: str = "polygon", multi_line: bool = True
+) -> DataFrame:
+    """Documents with a list of bars stamped in milliseconds, one a file or one a line."""
     schema = "results array<struct<t: bigint, o: double, h: double, l: double, c: double, v: double>>"
-    bars = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    bars = spark.read.schema(schema).json(path, multiLine=multi_line, mode="FAILFAST", recursiveFileLookup=True)
     return bars.select(_symbol().alias("symbol"), file_name().alias("source_file"), F.inline("results")).select(
         "symbol", F.timestamp_millis("t").cast("date").alias("day"), F.col("o").alias("open"),
         F.col("h").alias("high"), F.col("l").alias("low"), F.col("c").alias("close"), F.col("v").alias("volume"),
@@ -36,11 +40,13 @@ def scan_prices_bars_json(spark: SparkSession, path: str, source: str = "polygon
     )
 
 
-def scan_prices_adj_json(spark: SparkSession, path: str, source: str = "tiingo") -> DataFrame:
-    """Lists of days with adjusted prices."""
+def scan_prices_adj_json(
+    spark: SparkSession, path: str, source: str = "tiingo", multi_line: bool = True
+) -> DataFrame:
+    """Days with adjusted prices, a list a file or a day a line."""
     names = ("Open", "High", "Low", "Close", "Volume")
     schema = "date string, " + ", ".join(f"adj{n} double" for n in names)
-    days = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    days = spark.read.schema(schema).json(path, multiLine=multi_line, mode="FAILFAST", recursiveFileLookup=True)
     return days.select(
         _symbol().alias("symbol"), F.to_date(F.left("date", F.lit(10))).alias("day"),
         *(F.col(f"adj{n}").alias(n.lower()) for n in names),
