@@ -509,6 +509,25 @@ check("search_by_ticker", _search_sql(["BRK"], "BRK", "", 25))(lambda m: _search
 check("suggest", f"SELECT * FROM ({_CLASS_SQL}) WHERE funds > 0 ORDER BY ticker_match DESC, class_match DESC, funds DESC, name_filed, cusip LIMIT 8")(
     lambda m: reads.suggest(_search(m, "brand group class A"), 8)
 )
+check(
+    "suggest_managers",
+    f"""
+SELECT 'stock' AS what, cusip AS id, ticker, coalesce(name_mixed, name_filed) AS name, funds, CAST(NULL AS BIGINT) AS value FROM (
+    SELECT * FROM ({_search_sql(["an"], "AN", "", 25)}) WHERE funds > 0
+    ORDER BY ticker_match DESC, class_match DESC, funds DESC, name_filed, cusip LIMIT 8)
+UNION ALL
+SELECT 'manager', CAST(cik AS VARCHAR), '', manager_name, 0, value FROM (
+    SELECT * FROM manager_totals WHERE period = (SELECT period FROM latest_period) AND manager_name ILIKE '%an%'
+    ORDER BY value DESC, manager_name, cik LIMIT 3)
+""",
+)(
+    lambda m: reads.suggest_managers(
+        reads.suggest(_search(m, "an"), 8),
+        reads.managers_list(
+            m.table("manager_totals"), m.table("periods"), m.table("periods").agg(F.max("period").alias("period")), "an", 3
+        ),
+    )
+)
 check("best_match", f"SELECT * FROM ({_search_sql(['BR', 'Q'], 'BRQ', '', 25)}) WHERE ticker_match")(
     lambda m: reads.best_match(_search(m, "BR/Q"), "BR/Q")
 )

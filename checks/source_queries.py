@@ -468,10 +468,12 @@ check(
 SELECT cik, period, replace(coalesce(ticker, ''), '/', '.') AS ticker, coalesce(name_mixed, {display_sql('name_filed')}, cusip) AS name, coalesce(title_of_class, '') AS class,
        cusip, kind, coalesce(CAST(nullif(value_now, 0) AS VARCHAR), '') AS value_usd,
        CAST(CAST(round_even(coalesce(shares_now, 0), 0) AS BIGINT) AS VARCHAR) AS shares,
-       CAST(CAST(round_even(coalesce(shares_prev, 0), 0) AS BIGINT) AS VARCHAR) AS shares_before, action AS change
+       CAST(CAST(round_even(coalesce(shares_prev, 0), 0) AS BIGINT) AS VARCHAR) AS shares_before, action AS change,
+       if(coalesce(weight_now, 0) = 0, '', printf('%.6f', weight_now)) AS weight,
+       coalesce(CAST(CAST(round_even(flow, 0) AS BIGINT) AS VARCHAR), '') AS net_buying_usd
 FROM manager_book
 """,
-)(lambda m: sinks.book_csv_rows(_kept_book(m)).drop("weight", "net_buying_usd"))
+)(lambda m: sinks.book_csv_rows(_kept_book(m)))
 check("sink_model_tables", rounded("holders", "median_price"))(
     lambda m: write_table(m.table("holders"), f"{m.path}/sink-holders", "period")
 )

@@ -1,7 +1,11 @@
-"""Every registered query against its SQL on the driver's smallest tables."""
+"""Registered queries against their SQL on the driver's smallest tables: the headline ones, or all
+with CHECKS=all."""
+
+import os
 
 import pytest
 
+from bench import HEADLINE
 from checks import ORACLES, QUERIES
 from checks.compare import compare, connect
 
@@ -15,7 +19,10 @@ def test_every_query_has_its_sql():
     assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+CHOSEN = sorted(QUERIES) if os.environ.get("CHECKS") == "all" else sorted(HEADLINE)
+
+
+@pytest.mark.parametrize("name", CHOSEN)
 def test_query_agrees_with_its_sql(spark, folder, duck, name):
     line = compare(spark, duck, folder, name, QUERIES[name], ORACLES.get(name))
     assert line.startswith("ok"), line
