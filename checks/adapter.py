@@ -125,13 +125,26 @@ def raw_summarypage(filed: DataFrame) -> DataFrame:
 REPLACED = ((3, "2023-06-30"), (7, "2023-06-30"), (11, "2022-03-31"), (11, "2024-06-30"))
 
 
-def code_of(brand: Column, day: Column) -> Column:
-    """A brand's nine-character code on a day: the seventh character counts its replacements; every
-    ninth brand's check digit is wrong."""
-    later = sum((((brand == b) & (day >= F.to_date(F.lit(d)))).cast("int") for b, d in REPLACED), F.lit(0))
-    base = F.concat(F.lpad((brand * 7919 + 10007).cast("string"), 6, "0"), later.cast("string"), F.lit("0"))
-    wrong = F.when(brand % 9 == 0, 1).otherwise(0)
-    return F.concat(base, ((check_digit(base) + wrong) % 10).cast("string"))
+def _version(brand: Column, day: Column) -> Column:
+    """How often a brand's code was replaced by a day."""
+    return sum((((brand == b) & (day >= F.to_date(F.lit(d)))).cast("int") for b, d in REPLACED), F.lit(0))
+
+
+def brand_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every brand's nine-character codes: the seventh character counts its replacements; every ninth
+    brand's check digit is wrong."""
+    rows = brands(spark, folder).select("b", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("version"))
+    b, wrong = F.col("b"), F.when(F.col("b") % 9 == 0, 1).otherwise(0)
+    base = F.concat(F.lpad((b * 7919 + 10007).cast("string"), 6, "0"), F.col("version").cast("string"), F.lit("0"))
+    based = rows.select("b", "version", base.alias("base"))
+    return based.select(
+        "b", "version", F.concat("base", ((check_digit(F.col("base")) + wrong) % 10).cast("string")).alias("code")
+    )
+
+
+def with_code(rows: DataFrame, day: Column, codes: DataFrame) -> DataFrame:
+    """Rows with the code their brand (b) had on a day."""
+    return rows.withColumn("version", _version(F.col("b"), day)).join(codes, ["b", "version"]).drop("version")
 
 
 def price_of(brand: Column, day: Column) -> Column:
@@ -152,21 +165,23 @@ def held_lines(spark: SparkSession, folder: str, filed: DataFrame) -> DataFrame:
     rows = lines.join(part, "l_partkey").join(orders, "l_orderkey")
     b, day = F.col("b"), F.col("period")
     before = sum((((b == x) & (day < F.to_date(F.lit(d)))).cast("int") for x, d in REPLACED), F.lit(0))
-    replaced = b.isin(3, 7, 11)
-    double = F.when(before == 0, 1).when(before == 1, 2).otherwise(4)
-    shares = F.when(replaced, ((F.col("m") * 31 + b * 17) % 97 + 1) * double).otherwise(F.col("l_quantity").cast("bigint")) * 10000
-    worth = F.when(replaced, shares / double).otherwise(shares).cast("bigint")
-    percent = F.round(F.col("l_discount") * 100).cast("bigint") + 100
-    value = worth * price_of(b, day) * percent / 100
-    value = F.when((F.col("l_tax") > 0.075) & (F.col("l_linenumber") == 3), value * 5).otherwise(value)
-    thousands = (F.col("filed") < F.to_date(F.lit("2023-01-03"))) | (
-        (F.col("l_tax") < 0.005) & (F.col("l_linenumber") == 2)
+    fold = F.when(before == 0, 1).when(before == 1, 2).otherwise(4)  # old shares per new one
+    today = F.when(b.isin(3, 7, 11), (F.col("m") * 31 + b * 17) % 97 + 1).otherwise(F.col("l_quantity").cast("bigint")) * 10000
+    slip = F.when((F.col("l_tax") > 0.075) & (F.col("l_linenumber") == 3), 5).otherwise(1)
+    thousands = (F.col("filed") < F.to_date(F.lit("2023-01-03"))) | ((F.col("l_tax") < 0.005) & (F.col("l_linenumber") == 2))
+    staged = rows.withColumns(
+        {
+            "fold": fold,
+            "today": today.cast("bigint"),
+            "price": price_of(b, day),
+            "percent": (F.round(F.col("l_discount") * 100).cast("bigint") + 100) * slip,
+            "unit": F.when(thousands, 100_000.0).otherwise(100.0),
+        }
     )
-    return rows.select(
-        "l_orderkey", "l_linenumber", "b", "m", "period", "source_zip", "l_returnflag", "l_linestatus",
-        code_of(b, day).alias("code"),
-        shares.cast("bigint").alias("shares"),
-        F.floor(F.when(thousands, value / 1000).otherwise(value)).alias("value"),
+    return with_code(staged, day, brand_codes(spark, folder)).select(
+        "l_orderkey", "l_linenumber", "b", "m", "period", "source_zip", "l_returnflag", "l_linestatus", "code",
+        (F.col("today") * F.col("fold")).alias("shares"),
+        F.floor(F.col("today") * F.col("price") * F.col("percent") / F.col("unit")).alias("value"),
     )
 
 
@@ -315,11 +330,15 @@ def raw_sec_tickers(brands: DataFrame) -> DataFrame:
 _NEWEST = "2026-09-30"
 
 
-def openfigi(brands: DataFrame) -> DataFrame:
+def _coded(brands: DataFrame, codes: DataFrame, day: str) -> DataFrame:
+    return with_code(brands, F.to_date(F.lit(day)), codes).withColumnRenamed("code", "cusip")
+
+
+def openfigi(brands: DataFrame, codes: DataFrame) -> DataFrame:
     """Answers of the lookup service for each brand's newest code, and for the replaced ones."""
     b = F.col("b")
-    newest = brands.withColumn("cusip", code_of(b, F.to_date(F.lit(_NEWEST))))
-    oldest = brands.where(b.isin(3, 7, 11)).withColumn("cusip", code_of(b, F.to_date(F.lit("2020-03-31"))))
+    newest = _coded(brands, codes, _NEWEST)
+    oldest = _coded(brands.where(b.isin(3, 7, 11)), codes, "2020-03-31")
     found = (b % 10 != 9) & (b != 7)
     old_found = F.col("b").isNotNull()
 
@@ -339,23 +358,23 @@ def openfigi(brands: DataFrame) -> DataFrame:
     return answers(newest, found).unionByName(answers(oldest, old_found))
 
 
-def ticker_fallbacks(brands: DataFrame) -> DataFrame:
+def ticker_fallbacks(brands: DataFrame, codes: DataFrame) -> DataFrame:
     b = F.col("b")
-    return brands.where(b % 10 == 9).select(
-        code_of(b, F.to_date(F.lit(_NEWEST))).alias("cusip"),
+    return _coded(brands.where(b % 10 == 9), codes, _NEWEST).select(
+        "cusip",
         ticker_of(b).alias("ticker"),
         F.when(b == 9, "issuer-name").otherwise("sec-ftd").alias("source"),
         F.when(b != 9, F.to_date(F.lit("2026-09-15"))).alias("as_of"),
     )
 
 
-def raw_ftd(traded: DataFrame) -> DataFrame:
+def raw_ftd(traded: DataFrame, codes: DataFrame) -> DataFrame:
     """Every line as a line of a fails-to-deliver file, some without a symbol or a readable date."""
     b, day = F.col("b"), F.col("day")
     half = F.when(F.dayofmonth(day) <= 15, "a").otherwise("b")
-    return traded.select(
+    return with_code(traded, day, codes).select(
         F.when(F.col("l_orderkey") % 61 == 0, "n/a").otherwise(F.date_format(day, "yyyyMMdd")).alias("settlement_date"),
-        F.when(F.col("l_linenumber") == 2, F.lower(code_of(b, day))).otherwise(code_of(b, day)).alias("cusip"),
+        F.when(F.col("l_linenumber") == 2, F.lower("code")).otherwise(F.col("code")).alias("cusip"),
         F.when(F.col("l_orderkey") % 50 == 0, " ").otherwise(symbol_of(b)).alias("symbol"),
         F.col("l_quantity").cast("bigint").cast("string").alias("quantity"),
         F.concat(F.lit("BRAND "), b.cast("string")).alias("description"),
@@ -412,9 +431,11 @@ def part_securities(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("p_partkey")
     key = F.lpad(n.cast("string"), 6, "0")
     base = F.concat(F.when(n % 11 == 0, F.concat(F.lit("G"), F.substring(key, 2, 5))).otherwise(key), F.lit("10"))
-    code = F.concat(base, ((check_digit(base) + F.when(n % 9 == 0, 1).otherwise(0)) % 10).cast("string"))
+    digit = (check_digit(F.col("base")) + F.when(n % 9 == 0, 1).otherwise(0)) % 10
+    code = F.concat("base", digit.cast("string"))
     figi = F.when(n % 3 == 0, F.concat(F.lit("BBG"), F.lpad(n.cast("string"), 9, "0"))).when(n % 3 == 1, "n/a")
-    return _read(spark, folder, "part").select(
+    rows = _read(spark, folder, "part").withColumn("base", base)
+    return rows.select(
         key.alias("key"), code.alias("cusip"), F.concat(F.lit("S"), F.floor(n / 2).cast("string")).alias("stock"),
         figi.alias("figi"), issuer_name(n, F.col("p_name")).alias("name_filed"),
         F.make_date(F.lit(2026), (n % 4 * 3 + 3).cast("int"), F.lit(28)).alias("latest_period"),
@@ -464,21 +485,23 @@ def request_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def watchlist(brands: DataFrame) -> DataFrame:
+def watchlist(brands: DataFrame, codes: DataFrame) -> DataFrame:
     """Watched codes: newest and replaced ones, and one per tenth brand that nobody reports."""
     b = F.col("b")
-    rows = brands.where(b % 3 == 0).select(code_of(b, F.to_date(F.lit(_NEWEST))).alias("cusip"), b.alias("line_no"))
-    old = brands.where(b.isin(3, 7, 11)).select(
-        code_of(b, F.to_date(F.lit("2020-03-31"))).alias("cusip"), (b + 100).alias("line_no")
+    rows = _coded(brands.where(b % 3 == 0), codes, _NEWEST).select("cusip", b.alias("line_no"))
+    old = _coded(brands.where(b.isin(3, 7, 11)), codes, "2020-03-31").select("cusip", (b + 100).alias("line_no"))
+    unknown = brands.where(b % 10 == 0).select(
+        F.concat(F.lit("NONE"), F.lpad(b.cast("string"), 5, "0")).alias("cusip"), (b + 200).alias("line_no")
     )
-    unknown = brands.where(b % 10 == 0).select(F.concat(F.lit("NONE"), F.lpad(b.cast("string"), 5, "0")).alias("cusip"), (b + 200).alias("line_no"))
-    return rows.unionByName(old).unionByName(unknown).select("cusip", F.lit("").alias("ticker"), F.lit("").alias("name"), "line_no")
+    every = rows.unionByName(old).unionByName(unknown)
+    return every.select("cusip", F.lit("").alias("ticker"), F.lit("").alias("name"), "line_no")
 
 
 def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     filed = filed_orders(spark, folder)
     traded = traded_lines(spark, folder)
     kinds = brands(spark, folder)
+    codes = brand_codes(spark, folder)
     return {
         "raw_submission": raw_submission(filed),
         "raw_coverpage": raw_coverpage(filed),
@@ -487,9 +510,9 @@ def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "raw_prices": raw_prices(traded),
         "raw_xbrl_frames": raw_xbrl_frames(traded),
         "raw_sec_tickers": raw_sec_tickers(kinds),
-        "openfigi": openfigi(kinds),
-        "ticker_fallbacks": ticker_fallbacks(kinds),
-        "raw_ftd": raw_ftd(traded),
-        "watchlist": watchlist(kinds),
+        "openfigi": openfigi(kinds, codes),
+        "ticker_fallbacks": ticker_fallbacks(kinds, codes),
+        "raw_ftd": raw_ftd(traded, codes),
+        "watchlist": watchlist(kinds, codes),
         "part_securities": part_securities(spark, folder),
     }
