@@ -24,11 +24,11 @@ def built(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("zips")
     market.write_zips(folder)
     lookups = spark.createDataFrame(
-        [("037833100", True, "AAPL", "APPLE INC", "Common Stock"), ("46090E103", True, "QQQ", "INVESCO QQQ", "ETP")],
+        [(market.ALDER.code, True, "ALD", "ALDER", "Common Stock"), (market.INDEX.code, True, "DIX", "INDEX", "ETP")],
         "cusip string, found boolean, ticker string, name string, security_type string",
     )
     fallbacks = spark.createDataFrame(
-        [("594918104", "MSFT", "sec-ftd", None)], "cusip string, ticker string, source string, as_of date"
+        [(market.BIRCH.code, "BIR", "sec-ftd", None)], "cusip string, ticker string, source string, as_of date"
     )
     raw = raw_from(spark, folder) | {"openfigi": lookups, "ticker_fallbacks": fallbacks}
     return Model(spark, raw, str(tmp_path_factory.mktemp("model")), SMALL)
@@ -38,7 +38,7 @@ def test_zip_members_are_read_byte_for_byte(spark, built):
     covers = built.raw["raw_coverpage"]
     assert covers.count() == 3 * market.MANAGERS
     assert covers.where(F.col("FILINGMANAGER_NAME") == 'Manager "7" LLC').count() == 3
-    assert {r["source_zip"] for r in covers.select("source_zip").distinct().collect()} == {w[0] for w in market.WINDOWS}
+    assert {r["source_zip"] for r in covers.select("source_zip").distinct().collect()} == {q[0] for q in market.QUARTERS}
 
 
 def test_a_missing_member_is_an_error(spark, tmp_path):
@@ -53,27 +53,27 @@ def test_the_market_is_counted(built):
     assert [r["label"] for r in periods] == ["Q2 2024", "Q3 2024", "Q4 2024"]
     assert [r["complete"] for r in periods] == [True, True, False]
     held = {(r["cusip"], str(r["period"])): r["funds_holding"] for r in built.table("holders").collect()}
-    for code, (_, _, _, counts) in market.SECURITIES.items():
-        assert tuple(held[code, str(p["period"])] for p in periods) == counts
+    for security in market.EVERY:
+        assert tuple(held[security.code, str(p["period"])] for p in periods) == security.reach
     assert built.table("positions").where("price_flag").count() == 0
 
 
 def test_kinds_come_from_the_type_else_from_the_words(built):
     kinds = {r["cusip"]: (r["kind"], r["ticker"], r["ticker_source"]) for r in built.table("stocks").collect()}
-    assert kinds["46090E103"] == ("etf", "QQQ", "openfigi")
-    assert kinds["594918104"] == ("stock", "MSFT", "sec-ftd")
-    assert kinds["67066G104"] == ("stock", None, None)
+    assert kinds[market.INDEX.code] == ("etf", "DIX", "openfigi")
+    assert kinds[market.BIRCH.code] == ("stock", "BIR", "sec-ftd")
+    assert kinds[market.CEDAR.code] == ("stock", None, None)
 
 
 def test_streaks_and_changes(built):
     rows = {(r["cusip"], r["seq"]): r for r in built.table("stock_periods").collect()}
-    assert rows["594918104", 3]["streak"] == 2 and rows["594918104", 3]["funds_change"] == 5
-    assert rows["67066G104", 3]["direction"] == -1 and rows["67066G104", 3]["streak"] == 2
-    assert rows["037833100", 2]["direction"] == 0
+    assert rows[market.BIRCH.code, 3]["streak"] == 2 and rows[market.BIRCH.code, 3]["funds_change"] == 5
+    assert rows[market.CEDAR.code, 3]["direction"] == -1 and rows[market.CEDAR.code, 3]["streak"] == 2
+    assert rows[market.ALDER.code, 2]["direction"] == 0
     changes = {(r["cusip"], str(r["period"])): r for r in built.table("changes").collect()}
-    new = changes["594918104", "2024-09-30"]
+    new = changes[market.BIRCH.code, "2024-09-30"]
     assert (new["opened"], new["added"], new["sold_out"], new["not_yet_filed"]) == (5, 40, 0, 0)
-    assert changes["67066G104", "2024-09-30"]["sold_out"] == 5
+    assert changes[market.CEDAR.code, "2024-09-30"]["sold_out"] == 5
 
 
 def test_new_tickers_rebuild_only_what_reads_them(spark, built):
@@ -97,7 +97,7 @@ def test_new_tickers_rebuild_only_what_reads_them(spark, built):
     assert counts["stocks"] == 4 and counts["stock_prices"] == 0
     assert other.table("positions") is positions_before
     after = {r["cusip"]: r["kind"] for r in other.table("stocks").collect()}
-    assert before["46090E103"] == "etf" and after["46090E103"] == "other"
+    assert before[market.INDEX.code] == "etf" and after[market.INDEX.code] == "other"
 
 
 def amended(spark, rows):
@@ -181,8 +181,8 @@ def test_a_replaced_identifier_is_found_and_a_coincidence_is_not(spark, tmp_path
     def replace(seq, rows):
         if seq >= 1:
             for line in rows["INFOTABLE"]:
-                if line[4].upper() == "594918104":
-                    line[4], line[7] = "594918203", line[7] // 2
+                if line[4] == market.BIRCH.code:
+                    line[4], line[7] = "20B000301", line[7] // 2
 
     market.write_zips(tmp_path / "zips", replace)
     empty = spark.createDataFrame([], "cusip string, found boolean, ticker string, name string, security_type string")
@@ -190,12 +190,12 @@ def test_a_replaced_identifier_is_found_and_a_coincidence_is_not(spark, tmp_path
     raw = raw_from(spark, tmp_path / "zips") | {"openfigi": empty, "ticker_fallbacks": none}
     model = Model(spark, raw, str(tmp_path / "model"), SMALL)
     found = model.table("cusip_changes").collect()
-    assert [(r["old_cusip"], r["new_cusip"], r["partial"]) for r in found] == [("594918104", "594918203", False)]
-    # every holding grew by 100 shares a quarter before the exchange
+    assert [(r["old_cusip"], r["new_cusip"], r["partial"]) for r in found] == [(market.BIRCH.code, "20B000301", False)]
+    # every holding grew by 50 shares before the exchange
     assert found[0]["exchange_ratio"] == pytest.approx(0.5, rel=0.05)
-    held = model.table("holders").where("cusip = '594918203'").orderBy("period").collect()
+    held = model.table("holders").where("cusip = '20B000301'").orderBy("period").collect()
     assert [r["funds_holding"] for r in held] == [40, 45, 50]
-    assert model.table("holders").where("cusip = '594918104'").count() == 0
+    assert model.table("holders").where(F.col("cusip") == market.BIRCH.code).count() == 0
 
 
 def test_gaps_end_a_series_and_empty_quarters_follow_it(spark):
@@ -234,6 +234,20 @@ def test_loading_twice_changes_nothing(spark, tmp_path):
     assert {(r["a"], r["source_zip"]) for r in rows} == {("1", "x"), ("2", "x"), ("9", "y")}
 
 
+def test_a_book_is_exported_as_csv(spark, built, tmp_path):
+    headers = reads.book_headers(built.table("manager_totals"), built.table("filings"), built.table("periods"))
+    book = reads.manager_book(built.table("position_pairs"), headers, built.table("stocks"), built.table("holders"))
+    from tidegauge.sources.sinks import export_book_csv
+
+    export_book_csv(book.where("cik = 46"), str(tmp_path / "books"))
+    rows = spark.read.csv(str(tmp_path / "books"), header=True, inferSchema=False).where("period = '2024-12-31'").collect()
+    got = {r["cusip"]: (r["change"], r["shares"], r["shares_before"]) for r in rows}
+    assert got == {
+        market.ALDER.code: ("add", "92100", "92050"), market.BIRCH.code: ("new", "92100", "0"),
+    }
+    assert sum(float(r["weight"]) for r in rows if r["weight"]) == pytest.approx(1.0, abs=1e-5)
+
+
 def test_known_archives_are_skipped(spark, tmp_path):
     market.write_zips(tmp_path)
     archives = files.archive_files(spark, str(tmp_path))
