@@ -26,7 +26,7 @@ CASH = (
 BROKEN = {
     "ok": {}, "streak": {"streak": 1}, "tide": {"vs_tide_pts": -1.0}, "flow": {"net_flow": -5.0},
     "prior": {"prior_free_cash_flow": -1.0}, "yield": {"lower_free_cash_flow": 4e9}, "bank": {"financial": True},
-    "cover": {"shares_outstanding": 2e9}, "worth": {"value": 160_000_000_000}, "old": {"fiscal_end": DAY("2024-12-31")},
+    "cover": {"shares_outstanding": 2e9}, "worth": {"value": 160_000_000_000}, "old": {"fiscal_end": DAY("2024-12-30")},
     "few": {"funds_prev": 99}, "year": {"prior_free_cash_flow": None},
 }
 
