@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import held_out, prepare, staged, table
+from tidegauge.llm.common import held_out, prepare, staged, staging_folder, table
+from tidegauge.llm.html_text import text_of_pages
+from tidegauge.llm.neighbours import nearest
+from tidegauge.llm.packing import pack
+from tidegauge.llm.pieces import decoded, encoded
 from tidegauge.llm.quality_classifier import fit_quality, score_quality
+from tidegauge.llm.quality_rules import judge
+from tidegauge.llm.secrets import by_path, scan_versions
 from tidegauge.llm.simhash import near_copies, with_fingerprints
 from tidegauge.llm.toxicity import fit_toxicity, score_toxicity
+from tidegauge.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +57,59 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = by_path(docs, scan_versions(docs, staging_folder(spark, "ledger")))
+    count = lambda kind: F.size(F.filter("base", lambda x: x.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, ("assign", "access", "hex")),
+        F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join("spans", ",").alias("spans"),
+    )
+
+
+@query
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", text_of_pages("html").alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = staging_folder(spark, "archives")
+    write_archives(table(spark, folder, "pages"), archives)
+    read = read_archives(spark, archives, with_data=False).where("last")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = docs.withColumn("ids", encoded("text")).withColumn("back", decoded("ids"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.crc32(listed.cast("binary")).alias("ids_crc32"),
+        (F.col("back") == F.col("text")).alias("round_trip"),
+    )
