@@ -11,6 +11,7 @@ further with the piece before it. Both read the result back from the last state.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ MARK = "▁"
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words a worker remembers, and the longest of them.
-REMEMBERED, LONGEST_WORD = 300_000, 64
+REMEMBERED, LONGEST_WORD = 400_000, 64
 #: How much worse than the worst piece an unknown character scores (of unigram models).
 UNKNOWN_PENALTY = 10.0
 
@@ -58,8 +59,19 @@ class PieceModel:
             self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         else:
             self.words = re.compile(rf"{MARK}*[^{MARK}\s]+|{MARK}+|\s")
+        # Lengths of the pieces that can end in three characters, the longest first.
+        self.lengths: dict[str, list[int]] = {}
+        for p in sorted(self.ids, key=len, reverse=True):
+            known = self.lengths.setdefault(p[-3:], [])
+            if len(p) > 1 and len(p) not in known:
+                known.append(len(p))
+        for end, known in self.lengths.items():
+            if len(end) == 3 and end[1:] in self.ids:
+                known.append(2)
         self.ends_with = lru_cache(1 << 18)(self._ends_with)
+        self.edges = lru_cache(None)(self._edges)
         self.known: dict[str, bytes] = {}
+        self.coded: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> "PieceModel":
@@ -81,31 +93,71 @@ class PieceModel:
             return ""
         return (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
 
-    def merged(self, text: str) -> list[str]:
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """What the merges make of a short string, done step by step: the adjacent pair that is the best
-        scored piece, the leftmost of these, is joined until none is a piece."""
-        parts = list(text)
+        scored piece, the leftmost of these, is joined until none is a piece. With the last pair joined."""
+        parts, last = list(text), None
         while True:
             pairs = [(self.scores.get(a + b), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]  # noqa: B905
             best = max((p for p in pairs if p[0] is not None), default=None)
             if best is None:
-                return parts
+                return parts, last
             i = -best[1]
+            last = parts[i], parts[i + 1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
+    def _edges(self, piece: str) -> tuple[list[str], list[str]] | None:
+        """The strings that are first, and last, in the piece while it is merged, from a character to
+        itself. None if merges don't make the piece, or not from parts with better scores than its own."""
+        parts, last = self.merged(piece)
+        if parts != [piece]:
+            return None
+        if last is None:
+            return [piece], [piece]
+        one, two = map(self.edges, last)
+        if one is None or two is None or any(len(x) > 1 and self.scores[x] <= self.scores[piece] for x in last):
+            return None
+        return [*one[0], piece], [*two[1], piece]
+
     def _ends_with(self, before: str, piece: str) -> bool:
-        return self.merged(before + piece) == ([before, piece] if before else [piece])
+        """Whether the merges of before + piece leave these two. Where every part has a better score than
+        what it becomes, merges happen in the order of scores, so it is enough to look at the strings
+        that meet at the border, in that order."""
+        if not before:
+            return self.merged(piece)[0] == [piece]
+        one, two = self.edges(before), self.edges(piece)
+        if one is None or two is None:
+            return self.merged(before + piece)[0] == [before, piece]
+        left, right, i, j, get = one[1], two[0], 0, 0, self.scores.get
+        never = -np.inf
+        while True:
+            next_left = get(left[i + 1]) if i + 1 < len(left) else never
+            next_right = get(right[j + 1]) if j + 1 < len(right) else never
+            across = get(left[i] + right[j], never)
+            if across > next_left and across >= next_right and across > never:
+                return False
+            if next_left == next_right == never:
+                return True
+            if next_left >= next_right:
+                i += 1
+            else:
+                j += 1
+
+    def _ends(self, word: str, i: int) -> Iterable[int]:
+        """Lengths from two that a piece at the end of the prefix of i characters can have."""
+        found = self.lengths.get(word[max(i - 3, 0) : i])
+        return found if found is not None else (2,) if i > 1 and word[i - 2 : i] in self.ids else ()
 
     def _extend(self, word: str, i: int, lengths: list[int], scores: list[float]) -> None:
         """The state of the prefix of i characters, from those of the shorter ones."""
         if self.kind == MERGES:
-            for n in range(min(self.longest, i), 0, -1):
-                piece = word[i - n : i]
-                if n == 1 or piece in self.ids:
-                    before = word[i - n - lengths[i - n] : i - n] if i > n else ""
-                    if self.ends_with(before, piece):
-                        break
-            lengths.append(n)
+            ids, ends_with = self.ids, self.ends_with
+            for n in self._ends(word, i):
+                if n <= i and (piece := word[i - n : i]) in ids:
+                    if ends_with(word[i - n - lengths[i - n] : i - n], piece):
+                        lengths.append(n)
+                        return
+            lengths.append(1)
             return
         best, chosen = -np.inf, 1
         for n in range(1, min(self.longest, i) + 1):
@@ -127,7 +179,8 @@ class PieceModel:
             else:
                 found.append(self.unknown)
             i -= lengths[i]
-        return np.array(found[::-1], "<i4").tobytes()
+        found.reverse()
+        return array("i", found).tobytes()
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode words in sorted order; each starts from the states of the prefix it shares with the
@@ -143,15 +196,45 @@ class PieceModel:
             self.known[word] = self._ids_of(word, lengths)
             last = word
 
+    def learn_short(self, words: Iterable[str]) -> None:
+        """learn() for a model of merges and short words: the ids of every prefix are kept with its state,
+        so that a word's are there when its last character is."""
+        lengths_of, ids, ends_with, known, coded = self.lengths.get, self.ids, self.ends_with, self.known, self.coded
+        last, lengths, found = "", [0], [b""]
+        for word in sorted(words):
+            shared, most = 0, min(len(last), len(word))
+            while shared < most and last[shared] == word[shared]:
+                shared += 1
+            del lengths[shared + 1 :], found[shared + 1 :]
+            for i in range(shared + 1, len(word) + 1):
+                ends = lengths_of(word[i - 3 if i > 3 else 0 : i])
+                if ends is None:
+                    ends = (2,) if word[i - 2 : i] in ids and i > 1 else ()
+                for n in ends:
+                    if n <= i and (piece := word[i - n : i]) in ids and ends_with(word[i - n - lengths[i - n] : i - n], piece):
+                        break
+                else:
+                    n, piece = 1, word[i - 1]
+                lengths.append(n)
+                found.append(found[i - n] + (coded.get(piece) or self._coded(piece)))
+            known[word] = found[-1]
+            last = word
+
+    def _coded(self, piece: str) -> bytes:
+        self.coded[piece] = found = self._ids_of(piece, [0, *range(1, len(piece) + 1)])
+        return found
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts; none for a null or empty text."""
         split = [self.words.findall(self.marked(t or "")) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         fresh = {w for words in split for w in words if w not in self.known}
-        self.learn(fresh)
+        short = {w for w in fresh if len(w) <= LONGEST_WORD} if self.kind == MERGES else set()
+        self.learn_short(short)
+        self.learn(fresh - short)
         known = self.known
-        found = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
+        found = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.intc) for words in split]
         for w in fresh:
             if len(w) > LONGEST_WORD:
                 del known[w]
