@@ -23,13 +23,14 @@ from tidegauge.llm.common import staged
 
 @dataclass(frozen=True)
 class ForestParams:
-    """`candidates` is the least share of a shard's different vectors that a query scores before it stops
-    to ascend. Vectors without structure (random directions) need a large one: their nearest are hardly
+    """`candidates` is the least share of a shard's different vectors, and `least` their least number,
+    that a query scores before it stops to ascend. Vectors without structure (random directions) need a large one: their nearest are hardly
     nearer than the rest."""
 
     trees: int = 48
     bits: int = 32
     candidates: float = 0.4
+    least: int = 256
     shard_rows: int = 16_384
     block_rows: int = 4_096
     seed: int = 11
@@ -57,7 +58,8 @@ class PrefixForest:
 
     def candidates(self, queries: np.ndarray) -> Iterator[np.ndarray]:
         """Places of the candidates of each query."""
-        enough = max(1, int(np.ceil(self.params.candidates * len(self.vectors))))
+        share = int(np.ceil(self.params.candidates * len(self.vectors)))
+        enough = min(len(self.vectors), max(self.params.least, share))
         lifted = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
         codes = [self._codes(lifted, planes) for planes in self.planes]
         bits = self.params.bits

@@ -123,12 +123,13 @@ def choose_cutoffs(counts: dict[tuple[int, int, int, int], int], params: RiskPar
         for r, cuts in enumerate(CUTOFFS.values()):
             over = lambda label, least: sum(counts.get((s, r, k, label), 0) for k in range(least, len(cuts) + 1))  # noqa: B023, E731
             good, best = over(1, 0), (0, 0)
-            for least in range(1, len(cuts) + 1):
+            # Over the loosest cutoff is who is over all of them.
+            for least in range(len(cuts), 0, -1):
                 if chance_of_so_few(over(1, least), good, risk) > level:
                     break
-                best = max(best, (over(0, least), -least))
+                best = max(best, (over(0, least), least))
             if best[0]:
-                chosen[s, r] = -best[1]
+                chosen[s, r] = best[1]
     return chosen
 
 

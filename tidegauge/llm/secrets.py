@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from tidegauge.llm.common import staged
+from tidegauge.llm.common import free_name, staged
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,8 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
 
 def by_path(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Each row of `versions` (all columns but text) with blob, spans (an array of kind:start:end by
-    start, then rule) and base, the same of the base rules. Repeated rows all stay."""
+    start, then rule) and base, the same of the base rules. Repeated rows all stay; columns of these names
+    are replaced."""
     base = len(BASE_RULES)
     span = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     lists = (
@@ -144,7 +145,7 @@ def by_path(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] =
             F.transform(F.filter("all", lambda x: x.getField("place") < base), lambda x: x.getField("span")).alias("base"),
         )
     )
-    named = versions.withColumn("blob", blob_of(F.col("text"))).drop("text")
+    named = versions.drop("spans", "base").withColumn("blob", blob_of(F.col("text"))).drop("text")
     empty = F.array().cast("array<string>")
     return named.join(lists, "blob", "left").withColumns({c: F.coalesce(c, empty) for c in ("spans", "base")})
 
@@ -153,24 +154,17 @@ def masked(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """`docs` with every finding in `text` replaced by MASK (touching or overlapping ones by one) and
     n_chars, where there is such a column, brought up to date. Rows and other columns stay."""
     before = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    open_from = F.coalesce(F.max("end").over(before), F.lit(0))
     first = F.row_number().over(Window.partitionBy("blob").orderBy("start", "end")) == 1
-    gaps = (
-        findings.withColumn("from", open_from)
-        .withColumn("first", first)
-        .groupBy("blob")
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("first") | (F.col("start") > F.col("from")), F.struct("from", "start")))).alias("__gaps"),
-            F.max("end").alias("__last"),
-        )
-        .withColumnRenamed("blob", "__blob")
-    )
+    opens = findings.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0))).withColumn("first", first)
+    blob, gaps, last = (free_name(docs, c) for c in ("blob", "gaps", "last"))
+    gap = F.when(F.col("first") | (F.col("start") > F.col("from")), F.struct("from", "start"))
+    cuts = opens.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_list(gap)).alias(gaps), F.max("end").alias(last))
     text = F.col("text")
-    cut = F.transform("__gaps", lambda g: F.substring(text, g.getField("from") + 1, g.getField("start") - g.getField("from")))
-    tail = F.substring(text, F.col("__last") + 1, F.length(text))
-    clean = F.when(F.col("__gaps").isNull(), text).otherwise(F.concat_ws(MASK, cut, F.array(tail)))
-    out = docs.withColumn("__blob", blob_of(text)).join(gaps, "__blob", "left").withColumn("text", clean)
+    between = F.transform(gaps, lambda g: F.substring(text, g.getField("from") + 1, g.getField("start") - g.getField("from")))
+    tail = F.substring(text, F.col(last) + 1, F.length(text))
+    hit = F.col(gaps).isNotNull()
+    out = docs.withColumn(blob, blob_of(text)).join(cuts, blob, "left")
+    out = out.withColumn("text", F.when(hit, F.concat_ws(MASK, between, F.array(tail))).otherwise(text))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__gaps").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

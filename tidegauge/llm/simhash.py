@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import per_batch, staged
+from tidegauge.llm.common import free_name, per_batch, staged
 from tidegauge.llm.components import components
 
 BITS, BLOCKS, REACH = 64, 4, 2
@@ -125,10 +125,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each component of near copies: that with the smallest doc_id, and of
     repeated rows with that id one. Null and empty texts are copies of each other (fingerprint zero).
     An empty table stays empty."""
-    marked = staged(with_fingerprints(docs, "__simhash"), "marked")
-    groups = near_copies(marked.select("doc_id", "__simhash"), "__simhash")
-    stays = groups.where(F.col("__simhash") == F.col("stays")).select("__simhash", F.col("component_id").alias("__id"))
-    same = (marked["__simhash"] == stays["__simhash"]) & marked["doc_id"].eqNullSafe(stays["__id"])
-    kept = marked.join(stays, same).drop(stays["__simhash"])
-    first = Window.partitionBy("__simhash").orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn("__place", F.row_number().over(first)).where("__place = 1").select(*docs.columns)
+    value, place = free_name(docs, "simhash"), free_name(docs, "place")
+    marked = staged(with_fingerprints(docs, value), "marked")
+    groups = near_copies(marked.select("doc_id", value), value)
+    stays = groups.where(F.col(value) == F.col("stays")).select(F.col("stays"), F.col("component_id").alias("stays_id"))
+    kept = marked.join(stays, (marked[value] == stays["stays"]) & marked["doc_id"].eqNullSafe(stays["stays_id"]), "left_semi")
+    first = Window.partitionBy(value).orderBy(F.xxhash64("text"), "text")
+    return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(value, place)
