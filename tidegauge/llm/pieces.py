@@ -24,8 +24,8 @@ from tidegauge.llm.common import per_batch
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words a worker remembers, and the longest of them.
-REMEMBERED, LONGEST_WORD = 400_000, 64
+#: Words a worker remembers (one batch may add to them), and the longest of them.
+REMEMBERED, LONGEST_WORD = 150_000, 64
 #: How much worse than the worst piece an unknown character scores (of unigram models).
 UNKNOWN_PENALTY = 10.0
 
@@ -59,19 +59,18 @@ class PieceModel:
             self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         else:
             self.words = re.compile(rf"{MARK}*[^{MARK}\s]+|{MARK}+|\s")
-        # Lengths of the pieces that can end in three characters, the longest first.
+        # Lengths of the pieces that can end in four characters, the longest first; filled as ends are met.
         self.lengths: dict[str, list[int]] = {}
-        for p in sorted(self.ids, key=len, reverse=True):
-            known = self.lengths.setdefault(p[-3:], [])
-            if len(p) > 1 and len(p) not in known:
-                known.append(len(p))
-        for end, known in self.lengths.items():
-            if len(end) == 3 and end[1:] in self.ids:
-                known.append(2)
-        self.ends_with = lru_cache(1 << 18)(self._ends_with)
+        self.long_lengths: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 4:
+                self.long_lengths.setdefault(p[-4:], set()).add(len(p))
+        self.ends_with = lru_cache(1 << 17)(self._ends_with)
         self.edges = lru_cache(None)(self._edges)
         self.known: dict[str, bytes] = {}
-        self.coded: dict[str, bytes] = {}
+        self.coded = {p: array("i", [i]).tobytes() for p, i in self.ids.items()}
+        self.plain = [self._shown(i) for i in range(len(pieces))]
+        self.high = np.array([t == BYTE and int(p[3:5], 16) > 127 for p, _, t in pieces])
 
     @classmethod
     def load(cls, path: str) -> "PieceModel":
@@ -143,16 +142,19 @@ class PieceModel:
             else:
                 j += 1
 
-    def _ends(self, word: str, i: int) -> Iterable[int]:
-        """Lengths from two that a piece at the end of the prefix of i characters can have."""
-        found = self.lengths.get(word[max(i - 3, 0) : i])
-        return found if found is not None else (2,) if i > 1 and word[i - 2 : i] in self.ids else ()
+    def _ends(self, end: str) -> list[int]:
+        """Lengths from two of the pieces that a prefix with this end, its last four characters, can end in."""
+        if len(self.lengths) > REMEMBERED:
+            self.lengths.clear()
+        short = [n for n in (4, 3, 2) if n <= len(end) and end[-n:] in self.ids]
+        self.lengths[end] = found = [*sorted(self.long_lengths.get(end, ()), reverse=True), *short]
+        return found
 
     def _extend(self, word: str, i: int, lengths: list[int], scores: list[float]) -> None:
         """The state of the prefix of i characters, from those of the shorter ones."""
         if self.kind == MERGES:
             ids, ends_with = self.ids, self.ends_with
-            for n in self._ends(word, i):
+            for n in self._ends(word[max(i - 4, 0) : i]):
                 if n <= i and (piece := word[i - n : i]) in ids:
                     if ends_with(word[i - n - lengths[i - n] : i - n], piece):
                         lengths.append(n)
@@ -199,7 +201,7 @@ class PieceModel:
     def learn_short(self, words: Iterable[str]) -> None:
         """learn() for a model of merges and short words: the ids of every prefix are kept with its state,
         so that a word's are there when its last character is."""
-        lengths_of, ids, ends_with, known, coded = self.lengths.get, self.ids, self.ends_with, self.known, self.coded
+        lengths_of, ends_with, known, coded = self.lengths.get, self.ends_with, self.known, self.coded
         last, lengths, found = "", [0], [b""]
         for word in sorted(words):
             shared, most = 0, min(len(last), len(word))
@@ -207,16 +209,16 @@ class PieceModel:
                 shared += 1
             del lengths[shared + 1 :], found[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
-                ends = lengths_of(word[i - 3 if i > 3 else 0 : i])
-                if ends is None:
-                    ends = (2,) if word[i - 2 : i] in ids and i > 1 else ()
-                for n in ends:
-                    if n <= i and (piece := word[i - n : i]) in ids and ends_with(word[i - n - lengths[i - n] : i - n], piece):
-                        break
+                end = word[i - 4 if i > 4 else 0 : i]
+                ends = lengths_of(end)
+                for n in self._ends(end) if ends is None else ends:
+                    if n <= i and (code := coded.get(piece := word[i - n : i])) is not None:
+                        if ends_with(word[i - n - lengths[i - n] : i - n], piece):
+                            break
                 else:
-                    n, piece = 1, word[i - 1]
+                    n, code = 1, coded.get(word[i - 1]) or self._coded(word[i - 1])
                 lengths.append(n)
-                found.append(found[i - n] + (coded.get(piece) or self._coded(piece)))
+                found.append(found[i - n] + code)
             known[word] = found[-1]
             last = word
 
@@ -240,23 +242,31 @@ class PieceModel:
                 del known[w]
         return found
 
+    def _shown(self, i: int) -> str:
+        kind = self.types[i]
+        if kind == BYTE:
+            return chr(int(self.pieces[i][3:5], 16))
+        return " ⁇ " if kind == UNKNOWN else "" if kind == CONTROL else self.pieces[i].replace(MARK, " ")
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: byte pieces are joined to characters (what is no UTF-8 shows as U+FFFD),
         control pieces are nothing, and the space that encoding put first goes."""
-        parts, run = [], bytearray()
-        for i in ids:
-            kind = self.types[i]
-            if kind == BYTE:
-                run.append(int(self.pieces[i][3:5], 16))
-                continue
-            if run:
-                parts.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            if kind == UNKNOWN:
-                parts.append(" ⁇ ")
-            elif kind != CONTROL:
-                parts.append(self.pieces[i].replace(MARK, " "))
-        parts.append(run.decode("utf-8", "replace"))
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return ""
+        if self.high[ids].any():
+            parts, run = [], bytearray()
+            for i in ids.tolist():
+                if self.types[i] == BYTE:
+                    run.append(int(self.pieces[i][3:5], 16))
+                    continue
+                if run:
+                    parts.append(run.decode("utf-8", "replace"))
+                    run = bytearray()
+                parts.append(self.plain[i])
+            parts.append(run.decode("utf-8", "replace"))
+        else:
+            parts = map(self.plain.__getitem__, ids.tolist())
         text = "".join(parts)
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
@@ -283,6 +293,8 @@ def decoded(ids: str | Column, path: str | None = None) -> Column:
 
     def batch_of(batch: pa.Array) -> pa.Array:
         model = _model(path)
-        return pa.array([None if x is None else model.decode(x) for x in batch.to_pylist()], pa.string())
+        values, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
+        rows = zip(ends[:-1].tolist(), ends[1:].tolist(), batch.is_valid().to_pylist(), strict=True)
+        return pa.array([model.decode(values[a:b]) if there else None for a, b, there in rows], pa.string())
 
     return per_batch(lambda: batch_of, "string")(ids)
