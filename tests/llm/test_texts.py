@@ -185,6 +185,20 @@ def test_fill_is_the_closest_there_is():
     assert plan_windows([0, 0, 0], 2).windows == 0
 
 
+def test_units_give_the_tokens_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    from tidegauge.llm.packing import Encoder
+
+    whole, parts = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    rng = random.Random(10)
+    letters = "abSTx'’sdmré!.,<>|0²½ª \n\t\x0b\x1c\x85\xa0"
+    texts = ["".join(rng.choice(letters + more) for _ in range(rng.randint(0, 30))) for more in ("", "\u0301e ", "ΣσŁ") for _ in range(3000)]
+    texts += ["don't 'll x're's!!'s ''s's", "a<|endoftext|>b <|ENDOFTEXT|>"]
+    for t, ids in zip(texts, parts(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packed_pieces_hold_each_id_once(spark, documents):
     from zlib import crc32
 

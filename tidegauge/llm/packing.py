@@ -10,8 +10,11 @@ often as they last. Pieces are then numbered within their length and find their
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import per_batch, staged
 
-#: Distinct words a task remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST_WORD = 200_000, 64
+#: Distinct words a worker remembers (one batch may add to them), and the longest of them.
+REMEMBERED, LONGEST_WORD = 700_000, 64
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -32,9 +35,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_LETTERS = "a-zªµºß-öø-ÿ"  # lower-case letters of Latin-1
+_OTHERS = rf"[^{_LETTERS}\x09-\x0d\x20\x85\xa0']"
+#: Runs of letters, and of anything else but white space; a run with an apostrophe takes the letters after it along.
+UNITS = re.compile(rf"[{_LETTERS}]+|{_OTHERS}*'(?:{_OTHERS}|')*[{_LETTERS}]*|{_OTHERS}+")
+
+
 class Encoder:
-    """Token ids (as little-endian 32-bit bytes) of whole texts under a tokenizer that never joins
-    characters across ASCII white space: words are encoded once and remembered."""
+    """Token ids (as little-endian 32-bit bytes) of whole texts under a tokenizer that lowers its text,
+    takes letters apart from the rest and joins nothing across white space. Texts are cut where it
+    cuts, and each different unit is encoded once. Only a text of Latin-1 characters without marks of
+    special tokens is cut this far, as nothing in it can compose; others are cut at ASCII spaces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,20 +53,35 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        split = [(t or b"").split() for t in texts]
+    @staticmethod
+    def units(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return re.findall("[^ \t-\r]+", text)
+        return re.findall("[^ \t-\r]+", text) if "<|" in text else UNITS.findall(text.lower())
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        split = [self.units(t or "") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        fresh = list({w: 0 for words in split for w in words if w not in self.known})
+        known = self.known
+        fresh = list({w: 0 for words in split for w in words if w not in known})
         for i in range(0, len(fresh), 10_000):
             some = fresh[i : i + 10_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+            found = self.tokenizer.encode_batch(some, add_special_tokens=False)
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, found, strict=True))
         for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+            yield b"".join(map(known.__getitem__, words))
         for w in fresh:
             if len(w) > LONGEST_WORD:
-                del self.known[w]
+                del known[w]
+
+
+@lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    """Once a worker, with the words it has met."""
+    return Encoder(path)
 
 
 def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int, keep_ids: bool = False) -> DataFrame:
@@ -65,11 +91,11 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int, keep_ids:
     more = ", ids array<int>" if keep_ids else ""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(path), TaskContext.get().partitionId()
+        encode, part = _encoder(path), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             columns: list[list] = [[] for _ in range(8 if keep_ids else 7)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
