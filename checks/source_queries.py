@@ -547,19 +547,35 @@ SELECT s.source, s.role, s.need, count(*) FILTER (r.outcome = 'ok') AS ok, count
 FROM (VALUES ('sec', 'primary', '13F data'), ('sec-xbrl', 'primary', 'company cash-flow data'), ('openfigi', 'primary', 'tickers'),
       ('sec-ftd', 'fallback', 'tickers'), ('stooq', 'primary', 'daily prices'), ('polygon', 'fallback', 'daily prices'),
       ('tiingo', 'fallback', 'daily prices')) s(source, role, need)
+LEFT JOIN (SELECT * FROM request_events WHERE seen_at > (SELECT max(seen_at) - INTERVAL 24 HOUR FROM request_events)) r ON r.source = s.source
+GROUP BY s.source, s.role, s.need
+""",
+)
+table(
+    "reliability_of_newest",
+    """
+SELECT s.source, s.role, s.need, count(*) FILTER (r.outcome = 'ok') AS ok, count(*) FILTER (r.outcome = 'failed') AS failed,
+       count(*) FILTER (r.outcome = 'throttled') AS throttled,
+       (SELECT max(e.seen_at) FROM request_events e WHERE e.source = s.source AND e.outcome = 'ok') AS last_ok,
+       (SELECT e.error FROM request_events e WHERE e.source = s.source AND e.outcome <> 'ok' ORDER BY e.seen_at DESC, e.error DESC LIMIT 1) AS last_error,
+       count(r.outcome) >= 5 AND 2 * count(*) FILTER (r.outcome = 'ok') < count(r.outcome) AS unreliable
+FROM (VALUES ('sec', 'primary', '13F data'), ('sec-xbrl', 'primary', 'company cash-flow data'), ('openfigi', 'primary', 'tickers'),
+      ('sec-ftd', 'fallback', 'tickers'), ('stooq', 'primary', 'daily prices'), ('polygon', 'fallback', 'daily prices'),
+      ('tiingo', 'fallback', 'daily prices')) s(source, role, need)
 LEFT JOIN (SELECT * FROM request_events WHERE seen_at > (SELECT max(seen_at) - INTERVAL 24 HOUR FROM request_events)
-           QUALIFY row_number() OVER (PARTITION BY source ORDER BY seen_at DESC, outcome) <= 500) r ON r.source = s.source
+           QUALIFY row_number() OVER (PARTITION BY source ORDER BY seen_at DESC, outcome) <= 20) r ON r.source = s.source
 GROUP BY s.source, s.role, s.need
 """,
 )
 
 
-def _health(m: CheckModel) -> DataFrame:
+def _health(m: CheckModel, newest: int | None = None) -> DataFrame:
     events = adapter.request_events(m.spark, m.folder)
-    return reliability.source_reliability(events, events.agg(F.max("at")).scalar())
+    return reliability.source_reliability(events, events.agg(F.max("at")).scalar(), newest)
 
 
 check("source_reliability", "SELECT * FROM reliability")(_health)
+check("source_reliability_of_newest", "SELECT * FROM reliability_of_newest")(lambda m: _health(m, 20))
 check("uncovered_needs", "SELECT need, bool_and(unreliable) AS uncovered FROM reliability GROUP BY need")(
     lambda m: reliability.uncovered_needs(_health(m))
 )

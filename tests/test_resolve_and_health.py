@@ -96,7 +96,7 @@ def test_sources_are_judged_on_the_last_day(spark):
 def test_a_long_run_does_not_push_others_out(spark):
     rows = [("openfigi", 1, "ok")] * 600 + [("sec", 5, "failed")] * 6
     found, _ = health(spark, rows)
-    assert found["openfigi"]["ok"] == 500 and found["sec"]["failed"] == 6 and found["sec"]["unreliable"]
+    assert found["openfigi"]["ok"] == 600 and found["sec"]["failed"] == 6 and found["sec"]["unreliable"]
 
 
 def test_new_files_are_picked_up_once_and_replace_themselves(spark, tmp_path):

@@ -221,7 +221,7 @@ def run_rows(picks: DataFrame, runs: DataFrame, p: Params = Params()) -> DataFra
         "period", F.row_number().over(best_first).alias("rank"),
         *(c for c in RUN_COLUMNS if c not in ("run_at", "period", "rank", "rules")),
     )
-    joined = F.broadcast(runs.select("run_at", "period")).join(ranked, "period", "left")
+    joined = runs.select("run_at", "period").join(ranked, "period", "left")
     return joined.withColumns(
         {
             "rank": F.coalesce("rank", F.lit(0)),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOURS = 24
-MAX_EVENTS = 500
 MIN_ATTEMPTS = 5
 
 # Each source, its role and the data need it answers for.
@@ -36,16 +35,14 @@ def unreliable() -> Column:
     return (attempts >= MIN_ATTEMPTS) & (F.col("ok") * 2 < attempts)
 
 
-def source_reliability(events: DataFrame, now: Column) -> DataFrame:
-    """Every source's outcomes in the 24 hours up to now, at most its newest 500, with the last answer
-    and the last error ever seen (`events` has source, at, outcome, error)."""
+def source_reliability(events: DataFrame, now: Column, newest: int | None = None) -> DataFrame:
+    """Every source's outcomes in the 24 hours up to now (only its `newest` ones, if given), with the last
+    answer and the last error ever seen (`events` has source, at, outcome, error)."""
     valid = events.where(F.col("outcome").isin("ok", "failed", "throttled") & (F.col("at") <= now))
-    newest = Window.partitionBy("source").orderBy(F.col("at").desc(), F.col("outcome"))
-    recent = (
-        valid.where(F.col("at") > now - F.expr(f"INTERVAL {HOURS} HOURS"))
-        .withColumn("_place", F.row_number().over(newest))
-        .where(F.col("_place") <= MAX_EVENTS)
-    )
+    recent = valid.where(F.col("at") > now - F.expr(f"INTERVAL {HOURS} HOURS"))
+    if newest is not None:
+        newest_first = Window.partitionBy("source").orderBy(F.col("at").desc(), F.col("outcome"))
+        recent = recent.withColumn("_place", F.row_number().over(newest_first)).where(F.col("_place") <= newest)
     counts = recent.groupBy("source").agg(*_outcomes())
     ok = F.col("outcome") == "ok"
     last = valid.groupBy("source").agg(
