@@ -24,23 +24,23 @@ from tidegauge.sources.facts import scan_keyed_json
 
 
 def _zipped(m: CheckModel) -> DataFrame:
-    """The holding lines packed into archives of one Arrow batch each."""
+    """The holding lines packed into the archives they came in."""
     columns = list(_COLUMNS["raw_infotable"])
 
-    def pack(batches):
-        for n, batch in enumerate(batches):
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-                lines = ["\t".join(columns)]
-                lines += ["\t".join("" if v is None else v for v in row) for row in batch.itertuples(index=False)]
-                archive.writestr("data/infotable.tsv", "\n".join(lines) + "\n")
-            yield pd.DataFrame({"path": [f"/batch-{n}_form13f.zip"], "content": [out.getvalue()]})
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            lines = ["\t".join(columns)]
+            lines += ["\t".join("" if v is None else v for v in row) for row in rows[columns].itertuples(index=False)]
+            archive.writestr("data/infotable.tsv", "\n".join(lines) + "\n")
+        return pd.DataFrame({"path": [f"/delivered/{rows['source_zip'].iloc[0]}"], "content": [out.getvalue()]})
 
-    return m.table("raw_infotable").select(*columns).mapInPandas(pack, "path string, content binary")
+    rows = m.table("raw_infotable").select(*columns, "source_zip")
+    return rows.groupBy("source_zip").applyInPandas(pack, "path string, content binary")
 
 
-check("scan_zip_members", "SELECT * EXCLUDE (source_zip) REPLACE (nullif(FIGI, '') AS FIGI) FROM raw_infotable")(
-    lambda m: filings.unpack_archives(_zipped(m), "INFOTABLE", list(_COLUMNS["raw_infotable"])).drop("source_zip")
+check("scan_zip_members", "SELECT * REPLACE (nullif(FIGI, '') AS FIGI) FROM raw_infotable")(
+    lambda m: filings.unpack_archives(_zipped(m), "INFOTABLE", list(_COLUMNS["raw_infotable"]))
 )
 
 # --- price files ----------------------------------------------------------------------------------------

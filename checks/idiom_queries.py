@@ -112,11 +112,12 @@ JOIN cusip_holders z ON z.cusip = a.cusip AND z.period = d.prev_period
 check(
     "join_equi_inequality",
     f"""
-SELECT p.period, p.old_cusip, p.new_cusip, count(*) AS moved, any_value(d.n) AS departed, any_value(a.n) AS arrived FROM moved_pairs p
-JOIN (SELECT period, cusip, count(*) AS n FROM gone_positions GROUP BY ALL) d ON d.period = p.period AND d.cusip = p.old_cusip
-JOIN (SELECT period, cusip, count(*) AS n FROM come_positions GROUP BY ALL) a ON a.period = p.period AND a.cusip = p.new_cusip
-WHERE least(d.n, a.n) >= {P.change_min_moved} AND 2 * least(d.n, a.n) >= a.n AND (2 * least(d.n, a.n) >= d.n OR least(d.n, a.n) >= {P.change_partial_moved})
-GROUP BY p.period, p.old_cusip, p.new_cusip
+SELECT o.period, o.cusip AS old_cusip, n.cusip AS new_cusip, count(*) AS moved, o.movers AS departed, n.movers AS arrived
+FROM turned_holdings o JOIN turned_holdings n ON n.period = o.period AND n.cik = o.cik AND n.cusip <> o.cusip
+WHERE o.left_it AND NOT n.left_it AND o.movers >= {P.change_min_moved} AND n.movers >= {P.change_min_moved}
+  AND 2 * o.movers >= n.movers AND o.movers >= least({P.change_partial_moved}, o.movers / 2)
+  AND n.movers >= least({P.change_partial_moved}, o.movers / 2)
+GROUP BY ALL
 """,
 )(
     lambda m: m.table("cusip_moves").groupBy("period", "old_cusip", "new_cusip").agg(

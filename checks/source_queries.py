@@ -121,6 +121,62 @@ def _streamed(m: CheckModel) -> DataFrame:
 
 check("stream_ingest", "SELECT * FROM raw_submission")(_streamed)
 
+
+def _deliveries(m: CheckModel, name: str, runs: list[dict[str, DataFrame]], short: tuple[str, ...] = ()) -> DataFrame:
+    """What the loader's table holds after runs before each of which these deliveries came in. Every row
+    is declared, and one more where the delivery is to fall short."""
+    rows = m.table("raw_submission")
+
+    def load(path: str) -> None:
+        incoming = f"{path}-incoming"
+        declared = None
+        for delivery, part in (item for run in runs for item in run.items()):
+            counts = part.groupBy("source_zip").agg(F.count(F.lit(1)).alias("n"))
+            counts = counts.select("source_zip", F.lit(delivery).alias("load_delivery"), (F.col("n") + int(delivery in short)).alias("n"))
+            declared = counts if declared is None else declared.unionByName(counts)
+        declared = declared.groupBy("source_zip", "load_delivery")
+        write_table(declared.agg(F.sum("n").alias("expected")), f"{path}-declared")
+        declared_by = "source_zip string, load_delivery string, expected bigint"
+        for run in runs:
+            for delivery, part in run.items():
+                part.write.mode("append").parquet(f"{incoming}/{delivery}")
+            stream_ingest(
+                m.spark, rows.schema, incoming, path, f"{path}-checkpoint",
+                expected=lambda spark: spark.read.schema(declared_by).parquet(f"{path}-declared"),
+            ).awaitTermination()
+
+    return filings.read_by_source(m.spark, m.exported(name, load), list(_COLUMNS["raw_submission"]))
+
+
+_AMENDED = f"SELECT * REPLACE (if({_CHANGED}, '13F-HR', SUBMISSIONTYPE) AS SUBMISSIONTYPE) FROM raw_submission"
+
+
+def _amended(m: CheckModel) -> DataFrame:
+    return m.table("raw_submission").where(F.expr(_CHANGED)).withColumn("SUBMISSIONTYPE", F.lit("13F-HR"))
+
+
+@check("stream_ingest_parts", "SELECT * FROM raw_submission")
+def _in_parts(m: CheckModel) -> DataFrame:
+    """Sources whose files come in over two runs."""
+    rows = m.table("raw_submission")
+    early = F.crc32(F.col("ACCESSION_NUMBER").cast("binary")) % 2 == 0
+    return _deliveries(m, "streamed-parts", [{"first": rows.where(early)}, {"first": rows.where(~early)}])
+
+
+@check("stream_ingest_redelivered", _AMENDED)
+def _redelivered(m: CheckModel) -> DataFrame:
+    """Two deliveries of a source waiting for one run: the later one counts."""
+    return _deliveries(m, "streamed-twice", [{"1-first": m.table("raw_submission"), "2-amended": _amended(m)}])
+
+
+@check("stream_ingest_audited", _AMENDED)
+def _audited(m: CheckModel) -> DataFrame:
+    """A delivery with fewer rows than declared leaves the one before it in place."""
+    short = m.table("raw_submission").withColumn("SUBMISSIONTYPE", F.lit("13F-NT"))
+    runs = [{"1-first": m.table("raw_submission")}, {"2-amended": _amended(m), "3-short": short}]
+    return _deliveries(m, "streamed-audited", runs, ("3-short",))
+
+
 # --- company facts ----------------------------------------------------------------------------------
 
 

@@ -1,3 +1,4 @@
+import io
 import zipfile
 
 import pytest
@@ -44,10 +45,69 @@ def test_zip_members_are_read_byte_for_byte(spark, built):
 def test_a_missing_member_is_an_error(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "01jun2024-31aug2024_form13f.zip", "w") as archive:
         archive.writestr("SUBMISSION.tsv", "ACCESSION_NUMBER\nx\n")
-    with pytest.raises(Exception, match="COVERPAGE.tsv not found"):
+    with pytest.raises(Exception, match="has no coverpage.tsv"):
         files.scan_zip_members(spark, str(tmp_path), "COVERPAGE", ["ACCESSION_NUMBER"]).collect()
 
 
+def zipped(spark, **texts):
+    """Archives with one member A each, of these bytes."""
+    rows = []
+    for name, text in texts.items():
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr("A.tsv", text)
+        rows.append((f"/in/{name}", bytearray(out.getvalue())))
+    return spark.createDataFrame(rows, "path string, content binary")
+
+
+def test_every_column_is_read_as_filed(spark):
+    lines = files.archive_lines(zipped(spark, one=b"x\ty\r\n1\t2\r\n\t\xff\xe9", two=b"z\tx\n3\t4\n"), ("A",))
+    rows = files.member_rows(lines, "A").select("x", "y", "z", "source_zip", F.hex(F.col("y").cast("binary")).alias("h"))
+    got = {(r["x"], r["z"], r["source_zip"], r["h"]) for r in rows.drop("y").collect()}
+    assert got == {("1", None, "one", "32"), (None, None, "one", "FFE9"), ("4", "3", "two", None)}
+
+
+@pytest.mark.parametrize("line", [b"3\t4\t5", b"1", b""])
+def test_ragged_lines_are_reported_and_refused(spark, line):
+    archives = zipped(spark, one=b"x\ty\n1\t2\n" + line + b"\n", two=b"x\ty\n1\t2\n")
+    lines = files.archive_lines(archives, ("A",))
+    assert [(r["source_zip"], r["number"]) for r in files.ragged_lines(lines).collect()] == [("one", 2)]
+    with pytest.raises(Exception, match="one: line 2 of A has"):
+        files.member_rows(lines, "A", ["x"]).collect()
+
+
+def test_ragged_lines_of_unpacked_files_are_refused(spark, tmp_path):
+    (tmp_path / "INFOTABLE.tsv").write_text("A\tB\n1\t2\n3\t4\t5\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.scan_filing_tsv(spark, str(tmp_path), ["A"]).collect()
+
+
+def test_archives_are_loaded_once_and_whole(spark, tmp_path):
+    incoming, tables = tmp_path / "in", str(tmp_path / "tables")
+    market.write_zips(incoming)
+    load = lambda: [t.collect() for t in files.load_archives(spark, str(incoming), tables, F.lit("2025-01-01"))]
+    held = lambda: {r["source_zip"]: r["count"] for r in spark.read.parquet(f"{tables}/raw_infotable").groupBy("source_zip").count().collect()}
+    added, ragged = load()
+    first = held()
+    assert len(added) == 12 and not ragged
+    assert {r["source_zip"]: r["row_count"] for r in added if r["table_name"] == "raw_infotable"} == first
+    assert [len(t) for t in load()] == [0, 0]
+
+    def change(quarter, rows):
+        if quarter == 0:
+            rows["INFOTABLE"].pop()
+        if quarter == 1:
+            rows["SUMMARYPAGE"][0] = rows["SUMMARYPAGE"][0][:1]
+            rows["INFOTABLE"].pop()
+
+    market.write_zips(incoming, change)
+    added, ragged = load()
+    names = [q[0] for q in market.QUARTERS]
+    assert {r["source_zip"] for r in added} == {names[0]}
+    assert {(r["source_zip"], r["member"], r["number"]) for r in ragged} == {(names[1], "SUMMARYPAGE", 1)}
+    assert held() == {**first, names[0]: first[names[0]] - 1}
+
+
 def test_the_market_is_counted(built):
     periods = built.table("periods").orderBy("period").collect()
     assert [r["label"] for r in periods] == ["Q2 2024", "Q3 2024", "Q4 2024"]
@@ -175,6 +235,26 @@ def test_chains_of_replacements(spark):
     assert circle["x"] == ("y", 2.0) and circle["y"] == ("x", 0.5)
 
 
+def test_long_chains_and_circles_agree_with_a_plain_walk(spark):
+    chain = [(f"n{i:03}", f"n{i + 1:03}", 2.0 if i % 2 else 0.5) for i in range(150)]
+    ring = [("r0", "r1", 2.0), ("r1", "r2", 3.0), ("r2", "r3", 5.0), ("r3", "r0", 7.0), ("t1", "r2", 11.0), ("t0", "t1", 13.0)]
+    more = [("p", "q", 2.0), ("q", "p", 0.25), ("s", "n149", 4.0)]
+    edges = chain + ring + more
+    onward = {o: (n, r) for o, n, r in edges}
+    codes = sorted({c for o, n, _ in edges for c in (o, n)})
+    rows = spark.createDataFrame(edges, "old_cusip string, new_cusip string, exchange_ratio double")
+    holders = spark.createDataFrame([(c,) for c in codes], "cusip string")
+    got = identity.stock_keys(holders, rows.withColumn("period", F.to_date(F.lit("2024-03-31")))).collect()
+    assert len(got) == len(codes)
+    for row in got:
+        at, ratio, seen = row["cusip"], 1.0, {row["cusip"]}
+        while at in onward and onward[at][0] not in seen:
+            at, step = onward[at]
+            ratio *= step
+            seen.add(at)
+        assert row["stock"] == at and row["ratio"] == pytest.approx(ratio)
+
+
 def test_a_replaced_identifier_is_found_and_a_coincidence_is_not(spark, tmp_path):
     """From the second quarter on one security trades under another code, two old shares for one new."""
 

@@ -99,18 +99,57 @@ def test_a_long_run_does_not_push_others_out(spark):
     assert found["openfigi"]["ok"] == 600 and found["sec"]["failed"] == 6 and found["sec"]["unreliable"]
 
 
-def test_new_files_are_picked_up_once_and_replace_themselves(spark, tmp_path):
+def loader(spark, tmp_path, **options):
+    """Functions that deliver rows, run the load, and read what the table holds."""
     schema = "a string, source_zip string"
     incoming, table = str(tmp_path / "in"), str(tmp_path / "out")
-    run = lambda: stream_ingest(spark, spark.createDataFrame([], schema).schema, incoming, table, str(tmp_path / "cp")).awaitTermination()
-    spark.createDataFrame([("1", "x"), ("2", "y")], schema).write.parquet(incoming)
-    run()
-    run()  # nothing new
-    read = lambda: {(r["a"], r["source_zip"]) for r in spark.read.schema(schema).parquet(table).collect()}
-    assert read() == {("1", "x"), ("2", "y")}
-    spark.createDataFrame([("9", "y")], schema).write.mode("append").parquet(incoming)
-    run()
-    assert read() == {("1", "x"), ("9", "y")}
+    of = spark.createDataFrame([], schema).schema
+
+    def deliver(name, *rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{incoming}/{name}")
+
+    def run():
+        stream_ingest(spark, of, incoming, table, str(tmp_path / "cp"), **options).awaitTermination()
+        return sorted((r["a"], r["source_zip"]) for r in spark.read.schema(schema).parquet(table).collect())
+
+    return deliver, run
+
+
+def test_new_files_are_picked_up_once_and_a_delivery_replaces_the_one_before(spark, tmp_path):
+    deliver, run = loader(spark, tmp_path)
+    deliver("1", ("1", "x"), ("2", "y"))
+    assert run() == run() == [("1", "x"), ("2", "y")]
+    deliver("2", ("9", "y"))
+    assert run() == [("1", "x"), ("9", "y")]
+
+
+def test_parts_of_a_delivery_add_up_over_runs_and_batches(spark, tmp_path):
+    deliver, run = loader(spark, tmp_path, max_files=1)
+    deliver("1", ("1", "x"))
+    assert run() == [("1", "x")]
+    for part in "2345":
+        deliver("1", (part, "x"))
+    assert run() == [(n, "x") for n in "12345"]
+
+
+def test_of_two_deliveries_waiting_the_later_counts(spark, tmp_path):
+    deliver, run = loader(spark, tmp_path)
+    deliver("2", ("new", "y"))
+    deliver("1", ("old", "y"), ("1", "x"))
+    assert run() == [("1", "x"), ("new", "y")]
+    deliver("1", ("late", "y"))
+    assert run() == [("1", "x"), ("new", "y")]
+
+
+def test_a_delivery_replaces_only_when_it_is_complete(spark, tmp_path):
+    declared = [("y", "1", 1), ("y", "2", 2)]
+    of = "source_zip string, load_delivery string, expected bigint"
+    deliver, run = loader(spark, tmp_path, expected=lambda s: s.createDataFrame(declared, of))
+    deliver("1", ("old", "y"))
+    deliver("2", ("new", "y"))
+    assert run() == [("old", "y")]
+    deliver("2", ("newer", "y"))
+    assert run() == [("new", "y"), ("newer", "y")]
 
 
 def test_batches_that_disagree_with_their_files_are_left_out(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tidegauge.functions.verdicts import security_kind
 from tidegauge.operators.calendar import with_next
 from tidegauge.operators.positions import share_lines
 from tidegauge.params import Params
+from tidegauge.session import shared_folder
+from tidegauge.sources.tables import write_table
 
 
 def cusip_moves(
@@ -51,20 +55,22 @@ def cusip_moves(
     arrived = of(held, grown).join(
         of(held_before.select("cik", "period", "cusip"), grown), ["cik", "period", "cusip"], "left_anti"
     )
-    departures = departed.groupBy("period", F.col("cusip").alias("old_cusip")).agg(F.count(F.lit(1)).alias("departed"))
-    arrivals = arrived.groupBy("period", F.col("cusip").alias("new_cusip")).agg(F.count(F.lit(1)).alias("arrived"))
+    # A pair's movers number at most the smaller of its two counts. Each side is cut by its own count
+    # before pairs are made; what needs both counts is asked of the pairs.
+    rows = F.count(F.lit(1))
+    departures = departed.groupBy("period", F.col("cusip").alias("old_cusip")).agg(rows.alias("departed"))
+    arrivals = arrived.groupBy("period", F.col("cusip").alias("new_cusip")).agg(rows.alias("arrived"))
+    departures = departures.where(F.col("departed") >= p.change_min_moved)
+    arrivals = arrivals.where(F.col("arrived") >= p.change_min_moved)
     left = departed.select(
         "period", "cik", F.col("cusip").alias("old_cusip"), F.col("shares").alias("s0"), F.col("value").alias("v0")
     ).join(departures, ["period", "old_cusip"])
     joined = arrived.select(
         "period", "cik", F.col("cusip").alias("new_cusip"), F.col("shares").alias("s1"), F.col("value").alias("v1")
     ).join(arrivals, ["period", "new_cusip"])
-    # A pair's movers number at most the smaller of its two counts, so a pair whose counts already
-    # rule it out is dropped before any of its rows is made.
     at_most = F.least("departed", "arrived")
     possible = (
         (F.col("old_cusip") != F.col("new_cusip"))
-        & (at_most >= p.change_min_moved)
         & (at_most >= F.col("arrived") * 0.5)
         & ((at_most >= F.col("departed") * 0.5) | (at_most >= p.change_partial_moved))
     )
@@ -106,37 +112,73 @@ def cusip_changes(moves: DataFrame, p: Params = Params()) -> DataFrame:
     )
 
 
-def stock_keys(cusip_holders: DataFrame, cusip_changes: DataFrame) -> DataFrame:
-    """Each identifier's stock (the end of its chain of replacements) and the ratio to its shares.
+def _walked(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Edges (cusip, stock, ratio; one per cusip) followed to their end by doubling: those that reach one,
+    the edges of those that never do (they lead into a circle), and how many these are.
+
+    Every round doubles the steps and is written, so a chain of n steps takes log n rounds. A round that
+    brings none to its end shows that the rest circles: else its chain would hold one at each distance."""
+    walk, left = edges, -1
+    while True:
+        unfinished = walk.join(edges.select(F.col("cusip").alias("stock")), "stock", "left_semi")
+        n = unfinished.count()
+        if n in (0, left):
+            circling = edges.join(unfinished.select("cusip"), "cusip", "left_semi")
+            return walk.join(unfinished.select("cusip"), "cusip", "left_anti"), circling, n
+        left = n
+        onward = walk.select(F.col("cusip").alias("stock"), F.col("stock").alias("next"), F.col("ratio").alias("more"))
+        walk = _staged(
+            walk.join(onward, "stock", "left").select(
+                "cusip", F.coalesce("next", "stock").alias("stock"), (F.col("ratio") * F.coalesce("more", F.lit(1.0))).alias("ratio")
+            )
+        )
+
+
+def _circled(edges: DataFrame, n: int) -> DataFrame:
+    """Ends of `n` edges that all lead into circles: each stops before it would meet itself or the node
+    at which it came in again, so at that node's predecessor."""
+    ahead, steps = edges.select("cusip", "stock", F.col("stock").alias("least")), 1
+    while steps < n:
+        onward = ahead.select(F.col("cusip").alias("stock"), F.col("stock").alias("next"), F.col("least").alias("other"))
+        ahead = _staged(
+            ahead.join(onward, "stock").select("cusip", F.col("next").alias("stock"), F.least("least", "other").alias("least"))
+        )
+        steps *= 2
+    # After as many steps as there are nodes, all stand on circles, and every node of one is stood on.
+    on = ahead.select(F.col("stock").alias("cusip")).distinct()
+    ring = edges.join(on, "cusip", "left_semi").join(ahead.select("cusip", "least"), "cusip")
+    around = ring.groupBy("least").agg(F.product("ratio").alias("whole"))
+    ends = ring.join(around, "least").select(
+        F.col("stock").alias("cusip"), F.col("cusip").alias("stock"), (F.col("whole") / F.col("ratio")).alias("ratio")
+    )
+    ends = _staged(ends)
+    tails, _, _ = _walked(_staged(edges.join(on, "cusip", "left_anti")))
+    last = ends.select(F.col("cusip").alias("entry"), F.col("stock").alias("end"), F.col("ratio").alias("more"))
+    led = tails.join(last, F.col("stock") == F.col("entry"))
+    return ends.unionByName(led.select("cusip", F.col("end").alias("stock"), (F.col("ratio") * F.col("more")).alias("ratio")))
 
-    Pass `cusip_changes` as a written table: the walk reads its edges once per step."""
-    spark = cusip_holders.sparkSession
-    edges = first_per_group(
+
+def _staged(df: DataFrame) -> DataFrame:
+    return write_table(df, f"{shared_folder(df.sparkSession)}/walk-{uuid.uuid4().hex}")
+
+
+def stock_keys(cusip_holders: DataFrame, cusip_changes: DataFrame) -> DataFrame:
+    """Each identifier's stock (the end of its chain of replacements) and the ratio to its shares. Chains
+    may be of any length; a circle of replacements stops before it closes."""
+    first = first_per_group(
         cusip_changes.select("old_cusip", "new_cusip", "exchange_ratio", "period"), ["old_cusip"], [F.col("period")]
     )
-    # A node already seen ends the walk, so a circle of replacements stops before it closes.
-    walked = spark.sql(
-        """
-        WITH RECURSIVE walk(cusip, stock, ratio, seen, step) AS (
-            SELECT old_cusip, new_cusip, exchange_ratio, array(old_cusip, new_cusip), 1 FROM {edges}
-            UNION ALL
-            SELECT w.cusip, e.new_cusip, w.ratio * e.exchange_ratio, array_append(w.seen, e.new_cusip), w.step + 1
-            FROM walk w JOIN {edges} e ON e.old_cusip = w.stock
-            WHERE NOT array_contains(w.seen, e.new_cusip)
-        )
-        SELECT cusip, max_by(struct(stock, ratio), step) AS last FROM walk GROUP BY cusip
-        """,
-        edges=edges,
+    edges = _staged(
+        first.select(F.col("old_cusip").alias("cusip"), F.col("new_cusip").alias("stock"), F.col("exchange_ratio").alias("ratio"))
     )
+    ended, circling, n = _walked(edges)
+    if n:
+        ended = ended.unionByName(_circled(_staged(circling), n))
     return (
         cusip_holders.select("cusip")
         .distinct()
-        .join(walked, "cusip", "left")
-        .select(
-            "cusip",
-            F.coalesce("last.stock", "cusip").alias("stock"),
-            F.coalesce("last.ratio", F.lit(1.0)).alias("ratio"),
-        )
+        .join(ended, "cusip", "left")
+        .select("cusip", F.coalesce("stock", "cusip").alias("stock"), F.coalesce("ratio", F.lit(1.0)).alias("ratio"))
     )
 
 

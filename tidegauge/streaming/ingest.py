@@ -1,30 +1,75 @@
-"""Incremental loading: new source files are picked up once, a file delivered again replaces itself."""
+"""Incremental loading without loss: parts of a delivery add up, a newer delivery replaces an older one whole."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.sources.filings import replace_by_source
 
+#: Columns that the landed rows have besides their own; rows to load must not use these names.
+DELIVERY, BATCH = "load_delivery", "load_batch"
+
+
+def delivery_folder() -> Column:
+    """The delivery a row's file belongs to: the folder it lies in."""
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+
+
+def landing_folder(table: str) -> str:
+    """Where the deliveries of a table land, each part kept."""
+    return f"{table.rstrip('/')}-deliveries"
+
 
 def stream_ingest(
     spark: SparkSession,
-    schema,
+    schema: T.StructType,
     incoming: str,
     table: str,
     checkpoint: str,
     source: str = "source_zip",
     file_format: str = "parquet",
+    expected: Callable[[SparkSession], DataFrame] | None = None,
+    max_files: int | None = None,
 ) -> StreamingQuery:
-    """Load what has arrived in `incoming` since the last run and stop. The checkpoint is the load
-    log; each micro-batch replaces the partitions of the sources it carries, so a batch run again
-    after a failure leaves the same table."""
-    arriving = spark.readStream.schema(schema).format(file_format).load(incoming)
+    """Load what has arrived below `incoming` since the last run and stop.
+
+    A delivery is a folder of files, of one or more sources; deliveries of a source follow each other in
+    the order of their folders' names. Parts that arrive in later batches or runs add to their delivery.
+    `table` holds, for every source, the rows of its newest complete delivery, and no others. With
+    `expected` (source, load_delivery, expected: the rows that were declared, read anew in every batch) a
+    delivery is complete once its rows agree; until then the one before stays. Without it, every delivery
+    counts as complete.
+
+    Batches land in partitions of their own number, and what the table gets is computed from all that
+    landed, so a batch run again after a failure leaves the same table. `max_files` bounds a batch."""
+    reader = spark.readStream.schema(schema).format(file_format).option("recursiveFileLookup", True)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    arriving = reader.load(incoming).withColumn(DELIVERY, delivery_folder())
+    landing = landing_folder(table)
+    placed = T.StructType([T.StructField(DELIVERY, T.StringType()), T.StructField(BATCH, T.LongType())])
+    landed_schema = T.StructType([*schema.fields, *placed.fields])
 
-    def load(batch: DataFrame, _: int) -> None:
-        replace_by_source(batch, table, source)
+    def load(batch: DataFrame, number: int) -> None:
+        (
+            batch.withColumn(BATCH, F.lit(number).cast("long"))
+            .hint("rebalance", source, DELIVERY)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(source, DELIVERY, BATCH)
+            .parquet(landing)
+        )
+        session = batch.sparkSession
+        landed = session.read.schema(landed_schema).parquet(landing)
+        touched = landed.where(F.col(BATCH) == number).select(source).distinct()
+        ready = complete(landed.join(touched, source, "left_semi"), [source, DELIVERY], expected and expected(session))
+        newest = ready.groupBy(source).agg(F.max(DELIVERY).alias(DELIVERY))
+        replace_by_source(landed.join(newest, [source, DELIVERY], "left_semi").select(*schema.names), table, source)
 
     return (
         arriving.writeStream.foreachBatch(load)
@@ -34,8 +79,14 @@ def stream_ingest(
     )
 
 
+def complete(rows: DataFrame, keys: list[str], expected: DataFrame | None) -> DataFrame:
+    """The keys whose rows number what `expected` (the keys, expected) declares; all, if nothing does."""
+    if expected is None:
+        return rows.select(*keys).distinct()
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("load_rows"))
+    return counts.join(expected, keys).where(F.col("load_rows") == F.col("expected")).select(*keys)
+
+
 def audited_batch(batch: DataFrame, expected: DataFrame, source: str = "source_zip") -> DataFrame:
     """Rows of the sources whose counts agree with what their files declare."""
-    counts = batch.groupBy(source).agg(F.count(F.lit(1)).alias("_rows"))
-    good = counts.join(expected, source).where(F.col("_rows") == F.col("expected")).select(source)
-    return batch.join(good, source, "left_semi")
+    return batch.join(complete(batch, [source], expected), source, "left_semi")
