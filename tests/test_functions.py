@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import dates, text, verdicts
 from tidegauge.functions.asof import asof
-from tidegauge.functions.stats import exact_median, first_per_group
+from tidegauge.functions.stats import _bucket, exact_median, first_per_group, middle_buckets
 from tidegauge.operators.calendar import federal_holidays
 
 
@@ -128,6 +128,19 @@ def test_median_equals_brute_force(spark, rows):
             assert found[key][1] == len(values)
 
 
+def test_values_close_together_do_not_meet_in_one_task(spark):
+    """A million values within 0.1 %, a third of them equal: at most a few hundred are ranked together."""
+    n = 1_000_000
+    tight = F.when(F.col("id") % 3 == 0, 50.0).otherwise(50.0 + F.pmod(F.xxhash64("id"), F.lit(n)) * (0.05 / n))
+    df = spark.range(n).select(F.lit("k").alias("k"), tight.alias("v"))
+    found = exact_median(df, ["k"], "v", "m", "n").first()
+    assert found["n"] == n and found["m"] == df.agg(F.median("v")).first()[0]
+    counted = df.groupBy("k", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _bucket(F.col("_v")))
+    parts = middle_buckets(counted, ["k"]).groupBy("k", "_b", "_s").count()
+    assert parts.agg(F.max("count")).first()[0] < 1000
+
+
+
 def test_asof_looks_both_ways(spark):
     day = lambda d: datetime.date(2024, 1, d)
     left = spark.createDataFrame([("x", day(5), 1), ("x", day(1), 2), ("y", day(5), 3)], "k string, t date, id int")
