@@ -14,7 +14,7 @@ from tidegauge.llm.packing import pack
 from tidegauge.llm.pieces import decoded, encoded
 from tidegauge.llm.quality_classifier import fit_quality, score_quality
 from tidegauge.llm.quality_rules import judge
-from tidegauge.llm.secrets import by_path, scan_versions
+from tidegauge.llm.secrets import RULES, by_path, scan_versions
 from tidegauge.llm.simhash import near_copies, with_fingerprints
 from tidegauge.llm.toxicity import fit_toxicity, score_toxicity
 from tidegauge.llm.warc import read_archives, write_archives
@@ -113,3 +113,55 @@ def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
         F.crc32(listed.cast("binary")).alias("ids_crc32"),
         (F.col("back") == F.col("text")).alias("round_trip"),
     )
+
+
+def _secrets_sql() -> str:
+    """Matches by the other engine's expressions, placed by adding up the texts between them."""
+    quoted = [r.pattern.replace("'", "''") for r in RULES]
+    per_rule = " UNION ALL ".join(
+        f"SELECT n, {i} AS place, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{p}', 0) AS wholes, "
+        f"regexp_extract_all(t, '{p}', {r.group}) AS parts, string_split_regex(t, '{p}') AS gaps FROM texts"
+        for i, (r, p) in enumerate(zip(RULES, quoted, strict=True))
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in RULES[:3])
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+matched AS ({per_rule}),
+single AS (
+    SELECT n, place, kind, least, unnest(range(len(wholes))) AS i, unnest(wholes) AS whole, unnest(parts) AS part,
+           unnest(gaps[1:len(wholes)]) AS gap
+    FROM matched WHERE len(wholes) > 0
+),
+placed AS (
+    SELECT *, CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY n, place ORDER BY i) AS BIGINT) AS finish FROM single
+),
+found AS (
+    SELECT n, place, kind, finish - length(whole) AS start, concat_ws(':', kind, finish - length(whole), finish) AS span
+    FROM placed WHERE length(part) >= least
+)
+SELECT doc_id, {counts},
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, place) FILTER (WHERE place < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, place), '') AS spans
+FROM texts LEFT JOIN found USING (n) GROUP BY n, doc_id
+"""
+
+
+ORACLES["op8_secrets"] = _secrets_sql()
+# Base32 by hand: four symbols of five bits for every five hexadecimal digits.
+ORACLES["op4_warc"] = """
+WITH hashed AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), named AS (
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(1 + ((list_sum(list_transform(range(5), lambda d: CAST(
+            (strpos('0123456789abcdef', substr(h, CAST(1 + 5 * (i // 4) + d AS BIGINT), 1)) - 1) * power(16, 4 - d) AS BIGINT)))::BIGINT
+            >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest
+    FROM hashed
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM named
+)
+SELECT page_id, payload_bytes, payload_digest, if(page_id = head, 'response', 'revisit') AS record_type,
+       if(page_id = head, NULL, head) AS refers_to
+FROM firsts
+"""
