@@ -50,6 +50,13 @@ check(
     "load_row_audit",
     "SELECT source_zip, count(*) AS loaded, count(*) AS expected FROM raw_infotable GROUP BY source_zip HAVING count(*) < 0",
 )(lambda m: filings.load_row_audit(_scanned(m), filings.data_lines(m.spark, _tsv_folder(m))))
+check(
+    "load_row_audit_short",
+    """
+SELECT source_zip, count(*) FILTER (WHERE CUSIP < '5') AS loaded, count(*) AS expected FROM raw_infotable
+GROUP BY source_zip HAVING loaded <> expected
+""",
+)(lambda m: filings.load_row_audit(_scanned(m).where("CUSIP < '5'"), filings.data_lines(m.spark, _tsv_folder(m))))
 
 
 def _archives(m: CheckModel) -> DataFrame:
