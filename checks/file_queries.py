@@ -208,6 +208,51 @@ FROM ftd_files WHERE bucket % 4 <> 0
 """,
 )(_new_files)
 
+
+
+def _ftd_zips(m: CheckModel) -> str:
+    """The same files as delivered: each zipped under its own name (every seventh under another)."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        source = rows["source_file"].iloc[0]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("notes.txt" if int(source[8:]) % 7 == 6 else f"{source}.txt", rows["value"].iloc[0] + "\n")
+        return pd.DataFrame({"source_file": [f"{source}.zip"], "content": [out.getvalue()]})
+
+    def export(path: str) -> None:
+        whole = m.spark.read.option("wholetext", True).text(_ftd_files(m))
+        # The sink ends a file with a line feed, which readers of zips pass over.
+        packed = whole.groupBy("source_file").applyInPandas(pack, "source_file string, content binary")
+        packed.select("source_file", F.col("content").cast("string")).write.mode("overwrite").partitionBy("source_file").text(path)
+
+    return m.exported("ftd-zips", export)
+
+
+def _new_zips(m: CheckModel) -> DataFrame:
+    """Rows per accepted zip, their shares and days, and what was rejected."""
+    rows, rejected = fails.load_new_zips(m.spark, _ftd_zips(m), pattern="part-*")
+    counts = rows.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("quantity").cast("bigint")).alias("shares"), F.max("settlement_date").alias("latest")
+    )
+    none = {"rows": F.lit(0).cast("bigint"), "shares": F.lit(None).cast("bigint"), "latest": F.lit(None).cast("string")}
+    return counts.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected.withColumns(none))
+
+
+check(
+    "load_new_zips",
+    """
+SELECT source_file || '.zip' AS source_file, if(r IS NULL, n + 2, 0) AS rows, if(r IS NULL, shares, NULL) AS shares,
+       if(r IS NULL, 'Trailer total quantity of shares 1', NULL) AS latest, r AS reason
+FROM (SELECT 'cnsfails' || lpad(CAST(l_orderkey // 1000 AS VARCHAR), 9, '0') AS source_file, count(*) AS n,
+             CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS shares,
+             CASE WHEN l_orderkey // 1000 % 7 = 6 THEN 'not one file of its own name inside'
+                  WHEN l_orderkey // 1000 % 5 = 4 THEN 'unexpected header'
+                  WHEN l_orderkey // 1000 % 3 = 1 THEN 'rows differ from the trailer''s count' END AS r
+      FROM lineitem GROUP BY l_orderkey // 1000)
+""",
+)(_new_zips)
+
 # --- sinks and rebuilds ---------------------------------------------------------------------------------------
 
 

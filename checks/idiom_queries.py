@@ -183,7 +183,7 @@ def _grid(m: CheckModel) -> DataFrame:
     """Every symbol in every period: the calendar's few rows as one array beside each symbol."""
     from tidegauge.operators import prices
 
-    latest = prices.latest_prices(prices.quarter_prices(m.table("raw_prices"), P))
+    latest = prices.latest_prices(m.table("quarter_prices"))
     dated = m.table("periods").where(F.col("prev_period").isNotNull()).agg(F.collect_list("period")).scalar()
     return latest.select(F.explode(dated).alias("period"), "symbol", (F.col("latest_close") > 0).alias("priced"))
 

@@ -505,6 +505,10 @@ def _search(m: CheckModel, query: str, limit: int = 25) -> DataFrame:
 
 _CLASS_SQL = _search_sql(["brand", "group"], "BRANDGROUPCLASSA", "A", 25)
 check("search", _CLASS_SQL)(lambda m: _search(m, "brand group class A"))
+# Two class hints: the first ranks, neither needs to match; a hint alone asks for nothing.
+check("search_two_classes", _search_sql(["brand", "group"], "CLASSBBRANDGROUPCLA", "B", 25))(
+    lambda m: _search(m, "class B brand group cl. A")
+)
 check("search_by_ticker", _search_sql(["BRK"], "BRK", "", 25))(lambda m: _search(m, "BRK"))
 check("suggest", f"SELECT * FROM ({_CLASS_SQL}) WHERE funds > 0 ORDER BY ticker_match DESC, class_match DESC, funds DESC, name_filed, cusip LIMIT 8")(
     lambda m: reads.suggest(_search(m, "brand group class A"), 8)

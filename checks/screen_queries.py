@@ -164,14 +164,14 @@ LEFT JOIN good_prices x ON x.symbol = s.symbol AND x.day =
         )
     )
 check("asof_close_at_period", rounded("close_at_period", "close"))(
-    lambda m: prices.close_at_period(m.table("raw_prices"), m.table("periods"), P)
+    lambda m: prices.close_at_period(m.table("quarter_prices"), m.table("periods"))
 )
 check("traded_in_quarter", rounded("traded_in_quarter", "dollar_volume"))(
-    lambda m: prices.traded_in_quarter(m.table("raw_prices"), m.table("periods"), P)
+    lambda m: prices.traded_in_quarter(m.table("quarter_prices"), m.table("periods"))
 )
 check("market_on_own_latest", rounded("market_on_own_latest", "market_close"))(
     lambda m: prices.market_on_own_latest(
-        prices.latest_prices(prices.quarter_prices(m.table("raw_prices"), P)), m.table("raw_prices"), P
+        prices.latest_prices(m.table("quarter_prices")), m.table("market_days"), P
     )
 )
 check(

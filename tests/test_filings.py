@@ -3,11 +3,12 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tests import market
 from tidegauge.operators import filings, identity, positions, reads
 from tidegauge.params import Params
-from tidegauge.plans.model import Model
+from tidegauge.plans.model import STEPS, Model
 from tidegauge.sources import filings as files
 
 SMALL = Params(median_min_funds=10, min_funds=10, change_min_funds=10, change_min_moved=10, min_positions=2)
@@ -138,23 +139,48 @@ def test_streaks_and_changes(built):
     assert changes[market.CEDAR.code, "2024-09-30"]["sold_out"] == 5
 
 
+EMPTY = {
+    "raw_xbrl_frames": "source_file string, taxonomy string, tag string, unit string, frame string, accn string, cik bigint, "
+    "entity_name string, loc string, period_start date, period_end date, val double",
+    "raw_sec_tickers": "cik bigint, ticker string, title string",
+    "raw_prices": "symbol string, day date, open double, high double, low double, close double, volume double, "
+    "source string, source_file string",
+}
+
+
+def test_a_published_model_opens_and_outlives_a_broken_build(spark, built, tmp_path):
+    raw = built.raw | {n: spark.createDataFrame([], s) for n, s in EMPTY.items()}
+    path = str(tmp_path / "model")
+    with pytest.raises(AnalysisException):
+        Model.open(spark, path)
+    assert Model(spark, dict(raw), path, SMALL).publish() == 1
+    first = Model.open(spark, path)
+    stocks = sorted(first.table("stocks").collect())
+    assert stocks and set(first.tables) == set(STEPS)
+    assert first.table("positions").schema == built.table("positions").schema
+    broken = Model(spark, raw | {"raw_sec_tickers": spark.createDataFrame([], "other int")}, path, SMALL)
+    with pytest.raises(AnalysisException):
+        broken.publish()
+    assert sorted(Model.open(spark, path).table("stocks").collect()) == stocks
+    none = spark.createDataFrame([], raw["openfigi"].schema)
+    assert Model(spark, raw | {"openfigi": none}, path, SMALL).publish() == 2
+    assert {r["kind"] for r in Model.open(spark, path).table("stocks").collect()} != {r["kind"] for r in stocks}
+    assert sorted(first.table("stocks").collect()) == stocks  # earlier readers keep what they opened
+
+
+def test_names_and_prices_are_read_by_one_step_each():
+    readers = lambda raw: {n for n, step in STEPS.items() if raw in step.needs}
+    assert readers("raw_infotable") == {"filings", "position_sums", "spelled_names"}
+    assert readers("raw_prices") == {"quarter_prices", "market_days"}
+
+
 def test_new_tickers_rebuild_only_what_reads_them(spark, built):
     other = Model(spark, dict(built.raw), built.path + "/again", SMALL)
     before = {r["cusip"]: r["kind"] for r in other.table("stocks").collect()}
     other.table("stock_periods")
     positions_before = other.table("positions")
     none = spark.createDataFrame([], built.raw["openfigi"].schema)
-    other.raw |= {
-        "raw_xbrl_frames": spark.createDataFrame(
-            [], "source_file string, taxonomy string, tag string, unit string, frame string, accn string, cik bigint, "
-            "entity_name string, loc string, period_start date, period_end date, val double",
-        ),
-        "raw_sec_tickers": spark.createDataFrame([], "cik bigint, ticker string, title string"),
-        "raw_prices": spark.createDataFrame(
-            [], "symbol string, day date, open double, high double, low double, close double, volume double, "
-            "source string, source_file string",
-        ),
-    }
+    other.raw |= {n: spark.createDataFrame([], s) for n, s in EMPTY.items()}
     counts = other.rebuild_after_tickers(none, built.raw["ticker_fallbacks"])
     assert counts["stocks"] == 4 and counts["stock_prices"] == 0
     assert other.table("positions") is positions_before

@@ -1,5 +1,6 @@
 import datetime
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,29 @@ def test_fails_to_deliver_files_are_audited(spark, tmp_path):
     assert again.count() == 0
 
 
+def test_zipped_files_read_like_loose_ones(spark, tmp_path):
+    loose, zipped = tmp_path / "loose", tmp_path / "zipped"
+    loose.mkdir(), zipped.mkdir()
+    for name, more in (("cnsfails202609a", {}), ("cnsfails202609b", {"count": 9}), ("cnsfails202608a", {"header": "X"})):
+        ftd_file(loose, f"{name}.txt", rows=[*ROWS, "20260903|1|A||B|"], **more)
+        with zipfile.ZipFile(zipped / f"{name}.zip", "w") as archive:
+            archive.write(loose / f"{name}.txt", f"x/{name.upper()}.TXT")
+    for name, members in (("none", []), ("two", ["two", "a/two.txt"])):
+        with zipfile.ZipFile(zipped / f"{name}.zip", "w") as archive:
+            for member in members:
+                archive.write(loose / "cnsfails202609a.txt", member)
+    rows, rejected = fails.load_new_zips(spark, str(zipped))
+    plain, _ = fails.load_new_files(spark, str(loose))
+    values = lambda df: sorted(df.drop("source_file").collect(), key=repr)
+    assert values(rows) == values(plain)
+    assert {r["source_file"]: r["reason"] for r in rejected.collect()} == {
+        "cnsfails202609b.zip": "rows differ from the trailer's count", "cnsfails202608a.zip": "unexpected header",
+        "none.zip": "not one file of its own name inside", "two.zip": "not one file of its own name inside",
+    }
+    again, left = fails.load_new_zips(spark, str(zipped), rows)
+    assert again.count() == 0 and left.count() == 4
+
+
 def test_the_newest_months_are_kept(spark):
     names = [("cnsfails202601b.zip", "/old/1", 1), ("CNSFAILS202601B.zip", "/new/1", 2), ("cnsfails202512a.zip", "/a", 3),
              ("cnsfails202511a.zip", "/b", 4), ("other.zip", "/c", 5), ("cnsfails202512b.zip", "/d", 6)]

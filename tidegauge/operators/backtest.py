@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.stats import product_minus_one
 from tidegauge.functions.text import symbol_key
-from tidegauge.operators.prices import first_close_on_or_after, last_close_on_or_before, usable_prices
+from tidegauge.operators.prices import market_days, usable_prices
 from tidegauge.params import Params
 
 
 def backtest_lists(list_dates: DataFrame, raw_prices: DataFrame, p: Params = Params()) -> DataFrame:
     """The lists prices reach: list date, exit date (the next list's, or the latest market day while
     open) and the market's return between them."""
-    through = raw_prices.where(F.col("symbol") == p.market_symbol).agg(F.max("day")).scalar()
+    # Cut to the market first: the other symbols are neither read on nor shuffled.
+    market_prices = raw_prices.where(F.col("symbol") == p.market_symbol)
+    through = market_prices.agg(F.max("day")).scalar()
     # The calendar has four rows a year: one small window.
     in_order = Window.partitionBy(F.lit(1)).orderBy("period")
     lists = list_dates.withColumn("through", through).where(F.col("list_date") <= F.col("through"))
@@ -24,15 +26,26 @@ def backtest_lists(list_dates: DataFrame, raw_prices: DataFrame, p: Params = Par
         F.coalesce("next_list", "through").alias("exit_date"),
         F.col("next_list").isNull().alias("open"),
     )
-    market = held_returns(lists.withColumn("symbol", F.lit(p.market_symbol)), raw_prices, p)
+    market = held_returns(lists.withColumn("symbol", F.lit(p.market_symbol)), market_prices, p)
     return lists.join(market.select("period", F.col("ret").alias("market_ret")), "period", "left")
 
 
 def held_returns(trades: DataFrame, raw_prices: DataFrame, p: Params = Params()) -> DataFrame:
     """Bought at the first close on or after `list_date`, sold at the last on or before `exit_date`.
     No return when the first close is too late, or there is none after it to sell at."""
-    bought = first_close_on_or_after(trades, raw_prices, "list_date", "buy")
-    sold = last_close_on_or_before(bought, raw_prices, "exit_date", "sell")
+    # Both ends in one pass: the days held, joined on the symbol (a symbol's trades number at most the
+    # lists drawn), and of each trade the first and the last of them, combined before their shuffle.
+    held = ["symbol", "list_date", "exit_date"]
+    asked = trades.select(*held).distinct()
+    closes = usable_prices(raw_prices).select("symbol", "day", "close")
+    close = F.struct("day", "close")
+    ends = (
+        closes.join(asked, "symbol")
+        .where(F.col("day").between(F.col("list_date"), F.col("exit_date")))
+        .groupBy(*held)
+        .agg(F.min(close).alias("buy"), F.max(close).alias("sell"))
+    )
+    sold = trades.join(ends, held, "left")
     valid = (F.col("sell.day") > F.col("buy.day")) & (
         F.datediff("buy.day", "list_date") <= p.price_lookback_days
     )
@@ -54,7 +67,10 @@ def backtest_picks(lists: DataFrame, picks: DataFrame, raw_prices: DataFrame, p:
     symbol = F.nullif(symbol_key(F.col("ticker")), F.lit(""))
     named = picks.select("period", "cusip", F.when(verified, symbol).alias("symbol"), "fcf_yield")
     trades = named.join(F.broadcast(lists.drop("market_ret")), "period")
-    with_symbol = held_returns(trades.where(F.col("symbol").isNotNull()), raw_prices, p)
+    # Days before the first list or after the last exit are cut in the scan.
+    span = [lists.agg(F.min("list_date")).scalar(), lists.agg(F.max("exit_date")).scalar()]
+    within = raw_prices.where(F.col("day").between(*span))
+    with_symbol = held_returns(trades.where(F.col("symbol").isNotNull()), within, p)
     without = trades.where(F.col("symbol").isNull()).select(
         "*",
         F.lit(None).cast("date").alias("entry"),
@@ -115,4 +131,4 @@ def backtest_totals(quarters: DataFrame) -> DataFrame:
 
 
 def prices_through(raw_prices: DataFrame, p: Params = Params()) -> DataFrame:
-    return usable_prices(raw_prices).where(F.col("symbol") == p.market_symbol).agg(F.max("day").alias("through"))
+    return market_days(raw_prices, p).agg(F.max("day").alias("through"))

@@ -182,10 +182,9 @@ def stock_keys(cusip_holders: DataFrame, cusip_changes: DataFrame) -> DataFrame:
     )
 
 
-def securities(
-    cusip_holders: DataFrame, filing_parts: DataFrame, raw_infotable: DataFrame, stock_keys: DataFrame
-) -> DataFrame:
-    """The name, class and FIGI most filers use for each identifier, in its latest period."""
+def spelled_names(cusip_holders: DataFrame, filing_parts: DataFrame, raw_infotable: DataFrame) -> DataFrame:
+    """How the lines of each identifier's latest period spell its name, class and FIGI, with their number.
+    Lines of other periods are dropped before anything is grouped; the one scan of the lines for names."""
     latest = cusip_holders.groupBy("cusip").agg(F.max("period").alias("latest_period"))
     lines = share_lines(raw_infotable).select(
         F.col("ACCESSION_NUMBER").alias("accession"),
@@ -194,31 +193,33 @@ def securities(
         F.trim("TITLEOFCLASS").alias("class"),
         F.nullif(F.trim("FIGI"), F.lit("")).alias("figi"),
     )
-    spelled = (
-        lines.join(filing_parts.select("accession", "period"), "accession")
-        .groupBy("cusip", "period", "name", "class", "figi")
+    return (
+        lines.join(filing_parts.select("accession", F.col("period").alias("latest_period")), "accession")
+        .join(latest, ["cusip", "latest_period"], "left_semi")
+        .groupBy("cusip", "latest_period", "name", "class", "figi")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    recent = spelled.join(latest, (spelled["cusip"] == latest["cusip"]) & (F.col("period") == F.col("latest_period")))
-    recent = recent.select(spelled["cusip"], "latest_period", "name", "class", "figi", "n")
+
+
+def securities(spelled: DataFrame, stock_keys: DataFrame) -> DataFrame:
+    """The name, class and FIGI most filers use for each identifier, in its latest period."""
 
     def most_used(column: str, out: str) -> DataFrame:
-        counted = recent.where(F.col(column).isNotNull()).groupBy("cusip", column).agg(F.sum("n").alias("n"))
+        counted = spelled.where(F.col(column).isNotNull()).groupBy("cusip", column).agg(F.sum("n").alias("n"))
         return counted.groupBy("cusip").agg(F.min_by(column, F.struct(-F.col("n"), column)).alias(out))
 
-    names = recent.groupBy("cusip", "name").agg(F.sum("n").alias("n")).withColumn("key", compact_key(F.col("name")))
+    names = spelled.groupBy("cusip", "latest_period", "name").agg(F.sum("n").alias("n")).withColumn("key", compact_key(F.col("name")))
     order = F.struct(-F.col("n"), "name")
-    top = names.groupBy("cusip").agg(F.min_by(F.struct("name", "key"), order).alias("top"))
+    top = names.groupBy("cusip", "latest_period").agg(F.min_by(F.struct("name", "key"), order).alias("top"))
     mixed = (
         names.where(F.col("name") != F.upper("name"))
-        .join(top, "cusip")
+        .join(top.drop("latest_period"), "cusip")
         .where(F.col("key") == F.col("top.key"))
         .groupBy("cusip")
         .agg(F.min_by("name", order).alias("name_mixed"))
     )
     return (
-        top.join(latest, "cusip")
-        .join(stock_keys.select("cusip", "stock"), "cusip")
+        top.join(stock_keys.select("cusip", "stock"), "cusip")
         .join(mixed, "cusip", "left")
         .join(most_used("class", "title_of_class"), "cusip", "left")
         .join(most_used("figi", "figi"), "cusip", "left")

@@ -33,27 +33,27 @@ def quarter_prices(raw_prices: DataFrame, p: Params = Params()) -> DataFrame:
     )
 
 
-def close_at_period(raw_prices: DataFrame, periods: DataFrame, p: Params = Params()) -> DataFrame:
-    """Last close on or before each quarter end of the calendar, within the lookback."""
+def market_days(raw_prices: DataFrame, p: Params = Params()) -> DataFrame:
+    """The market's close on each of its days: one row a trading day."""
+    return usable_prices(raw_prices).where(F.col("symbol") == p.market_symbol).select("day", "close")
+
+
+def close_at_period(by_quarter: DataFrame, periods: DataFrame) -> DataFrame:
+    """Last close on or before each quarter end of the calendar, within the lookback (of `quarter_prices`)."""
     wanted = F.broadcast(
         periods.select("period").union(periods.select("prev_period")).where(F.col("period").isNotNull()).distinct()
     )
     return (
-        quarter_prices(raw_prices, p)
-        .where(F.col("end_close").isNotNull())
+        by_quarter.where(F.col("end_close").isNotNull())
         .join(wanted, "period", "left_semi")
         .select("period", "symbol", F.col("end_close").alias("close"))
     )
 
 
-def traded_in_quarter(raw_prices: DataFrame, periods: DataFrame, p: Params = Params()) -> DataFrame:
+def traded_in_quarter(by_quarter: DataFrame, periods: DataFrame) -> DataFrame:
     """Value traded and days traded over each quarter that has one before it."""
     dated = F.broadcast(periods.where(F.col("prev_period").isNotNull()).select("period"))
-    return (
-        quarter_prices(raw_prices, p)
-        .join(dated, "period", "left_semi")
-        .select("period", "symbol", "dollar_volume", "days_traded")
-    )
+    return by_quarter.join(dated, "period", "left_semi").select("period", "symbol", "dollar_volume", "days_traded")
 
 
 def latest_prices(by_quarter: DataFrame) -> DataFrame:
@@ -70,9 +70,8 @@ def latest_prices(by_quarter: DataFrame) -> DataFrame:
     )
 
 
-def market_on_own_latest(latest: DataFrame, raw_prices: DataFrame, p: Params = Params()) -> DataFrame:
+def market_on_own_latest(latest: DataFrame, market: DataFrame, p: Params = Params()) -> DataFrame:
     """The market's close on or before each symbol's own latest day, within the lookback."""
-    market = usable_prices(raw_prices).where(F.col("symbol") == p.market_symbol).select("day", "close")
     # One row per day and symbol: a join on the day of each lookback offset, no range join.
     back = F.sequence(F.date_sub(F.col("latest_day"), p.price_lookback_days - 1), F.col("latest_day"))
     return (
@@ -89,9 +88,11 @@ def stock_symbols(stocks: DataFrame) -> DataFrame:
     return stocks.where(verified).select("cusip", symbol_key(F.col("ticker")).alias("symbol"))
 
 
-def stock_prices(stocks: DataFrame, raw_prices: DataFrame, periods: DataFrame, p: Params = Params()) -> DataFrame:
-    """Per stock and period: the price since funds were buying, against the market, and the volume."""
-    by_quarter = quarter_prices(raw_prices, p)
+def stock_prices(
+    stocks: DataFrame, by_quarter: DataFrame, market_days: DataFrame, periods: DataFrame, p: Params = Params()
+) -> DataFrame:
+    """Per stock and period: the price since funds were buying, against the market, and the volume. The
+    daily prices come in as two written tables, `quarter_prices` and `market_days`, and are not read again."""
     latest = latest_prices(by_quarter)
     ahead = F.broadcast(with_next(periods.select("period")).where(F.col("next_period").isNotNull()))
     starts = (
@@ -113,7 +114,7 @@ def stock_prices(stocks: DataFrame, raw_prices: DataFrame, periods: DataFrame, p
         )
     )
     compared = by_symbol.join(market, "period", "left").join(
-        market_on_own_latest(latest, raw_prices, p), "symbol", "left"
+        market_on_own_latest(latest, market_days, p), "symbol", "left"
     )
     market_pct = F.col("market_close") / F.col("market_start") - 1
     stale = F.col("latest_day") < F.date_sub(F.col("market_day"), p.price_stale_days)
@@ -127,15 +128,21 @@ def stock_prices(stocks: DataFrame, raw_prices: DataFrame, periods: DataFrame, p
     )
 
 
+def _closes_asked_for(raw_prices: DataFrame, dates: DataFrame) -> DataFrame:
+    """Closes of the symbols that are asked for: the rest is never shuffled."""
+    asked = dates.select("symbol").distinct()
+    return usable_prices(raw_prices).select("symbol", "day", "close").join(asked, "symbol", "left_semi")
+
+
 def first_close_on_or_after(dates: DataFrame, raw_prices: DataFrame, day: str, out: str) -> DataFrame:
     """Each (symbol, day) row with the first close on or after the day, as struct(day, close)."""
-    closes = usable_prices(raw_prices).select("symbol", "day", "close")
+    closes = _closes_asked_for(raw_prices, dates)
     return asof(dates, closes, "symbol", day, "day", F.struct("day", "close"), out, forward=True)
 
 
 def last_close_on_or_before(dates: DataFrame, raw_prices: DataFrame, day: str, out: str) -> DataFrame:
     """Each (symbol, day) row with the last close on or before the day, as struct(day, close)."""
-    closes = usable_prices(raw_prices).select("symbol", "day", "close")
+    closes = _closes_asked_for(raw_prices, dates)
     return asof(dates, closes, "symbol", day, "day", F.struct("day", "close"), out)
 
 

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from tidegauge.operators import calendar, filings, fundamentals, holders, identity, positions, prices
 from tidegauge.params import Params
 from tidegauge.sources.tables import write_table
 
+MANIFEST = "version bigint, name string, folder string, columns string"
+
 RAW_TABLES = (
     "raw_submission", "raw_coverpage", "raw_summarypage", "raw_infotable", "raw_prices", "raw_xbrl_frames",
     "raw_sec_tickers", "openfigi", "ticker_fallbacks",
@@ -45,7 +52,8 @@ STEPS: dict[str, Step] = {
     "cusip_moves": Step(identity.cusip_moves, ("periods", "cusip_holders", "positions", "filings"), None, True),
     "cusip_changes": Step(identity.cusip_changes, ("cusip_moves",), None, True),
     "stock_keys": Step(identity.stock_keys, ("cusip_holders", "cusip_changes")),
-    "securities": Step(identity.securities, ("cusip_holders", "filing_parts", "raw_infotable", "stock_keys")),
+    "spelled_names": Step(identity.spelled_names, ("cusip_holders", "filing_parts", "raw_infotable")),
+    "securities": Step(identity.securities, ("spelled_names", "stock_keys")),
     "stocks": Step(identity.stocks, ("stock_keys", "cusip_holders", "securities", "openfigi", "ticker_fallbacks")),
     "holders": Step(holders.holders, ("positions", "stock_keys", "cusip_holders"), "period"),
     "filers_total": Step(filings.filers_total, ("periods", "filings")),
@@ -71,13 +79,15 @@ STEPS: dict[str, Step] = {
         fundamentals.stock_cash_flows_history, ("stocks", "raw_sec_tickers", "fundamentals_history")
     ),
     "stock_cash_flows": Step(fundamentals.stock_cash_flows, ("stock_cash_flows_history",)),
-    "stock_prices": Step(prices.stock_prices, ("stocks", "raw_prices", "periods"), None, True),
+    "quarter_prices": Step(prices.quarter_prices, ("raw_prices",), None, True),
+    "market_days": Step(prices.market_days, ("raw_prices",), None, True),
+    "stock_prices": Step(prices.stock_prices, ("stocks", "quarter_prices", "market_days", "periods"), None, True),
 }
 
 # What a new ticker or kind changes: stocks and everything read through them.
 AFTER_TICKERS = (
     "stocks", "stock_periods", "fundamentals_history", "fundamentals", "cover_history", "stock_cash_flows_history",
-    "stock_cash_flows", "stock_prices",
+    "stock_cash_flows", "quarter_prices", "market_days", "stock_prices",
 )
 
 
@@ -87,9 +97,21 @@ def after_first(pairs: DataFrame, periods: DataFrame) -> DataFrame:
     return pairs.join(dated, "period", "left_semi")
 
 
+def levels() -> list[list[str]]:
+    """The steps by what they wait for: those of one level need only tables of earlier ones."""
+    level: dict[str, int] = {}
+    for name, step in STEPS.items():
+        level[name] = 1 + max((level[n] for n in step.needs if n in STEPS), default=-1)
+    return [[n for n in STEPS if level[n] == i] for i in range(max(level.values()) + 1)]
+
+
 @dataclass
 class Model:
-    """Model tables over a set of raw tables, built on first use and kept under `path`."""
+    """Model tables over a set of raw tables, built on first use and kept under `path`.
+
+    A build writes to folders of its own. Readers see it once `publish` has added its row to the manifest,
+    a table below `path`, in one file: until then, and after a build that broke off, `open` gives the
+    tables published before. Folders of earlier builds stay for those who still read them."""
 
     spark: SparkSession
     raw: dict[str, DataFrame]
@@ -97,7 +119,37 @@ class Model:
     params: Params = Params()
     log: Callable[[str], None] | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
-    generation: int = 0
+    folders: dict[str, str] = field(default_factory=dict)
+    generation: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, raw: dict[str, DataFrame] | None = None, params: Params = Params()) -> Model:
+        """The model last published under `path`, read where it was written; nothing is built. `raw` is
+        needed only to build on."""
+        manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+        newest = manifest.where(F.col("version") == manifest.agg(F.max("version")).scalar())
+        model = cls(spark, dict(raw or {}), path, params)
+        for row in newest.collect():  # one row a table
+            schema = T.StructType.fromJson(json.loads(row["columns"]))
+            model.tables[row["name"]] = spark.read.schema(schema).parquet(row["folder"]).select(*schema.fieldNames())
+            model.folders[row["name"]] = row["folder"]
+        if not model.tables:
+            raise FileNotFoundError(f"no model has been published under {path}")
+        return model
+
+    def publish(self) -> int:
+        """Make every table of the model (building what is missing) the one that `open` gives; the number
+        of this version."""
+        self.build_tables()
+        try:
+            last = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest").agg(F.max("version")).first()[0] or 0
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            last = 0
+        rows = [(last + 1, name, self.folders[name], self.tables[name].schema.json()) for name in STEPS]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        return last + 1
 
     def plan(self, name: str) -> DataFrame:
         """The named table as a plan over its written inputs, not yet run."""
@@ -113,18 +165,28 @@ class Model:
             started = time.monotonic()
             folder = f"{self.path}/{name}-{self.generation}"
             self.tables[name] = write_table(built, folder, STEPS[name].partition_by)
+            self.folders[name] = folder
             if self.log:
                 self.log(f"{name}: {time.monotonic() - started:.1f}s")
         return self.tables[name]
 
+    def build_tables(self, at_once: int = 4) -> None:
+        """Every table, those that don't wait for each other side by side."""
+        for name in {n for step in STEPS.values() for n in step.needs if n not in STEPS}:
+            self.table(name)
+        with ThreadPoolExecutor(at_once) as pool:
+            for names in levels():
+                list(pool.map(self.table, names))
+
     def build_all(self) -> dict[str, int]:
-        """Every table in order; rows per table."""
+        """Every table; rows per table."""
+        self.build_tables()
         return {name: self.table(name).count() for name in STEPS}
 
     def rebuild_after_tickers(self, openfigi: DataFrame, ticker_fallbacks: DataFrame) -> dict[str, int]:
         """New identifier answers: only what reads stocks is built again, the rest stays as written."""
         self.raw = {**self.raw, "openfigi": openfigi, "ticker_fallbacks": ticker_fallbacks}
-        self.generation += 1
+        self.generation = uuid.uuid4().hex
         for name in AFTER_TICKERS:
             self.tables.pop(name, None)
         return {name: self.table(name).count() for name in AFTER_TICKERS}
