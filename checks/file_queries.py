@@ -221,7 +221,7 @@ def _ftd_zips(m: CheckModel) -> str:
         return pd.DataFrame({"source_file": [f"{source}.zip"], "content": [out.getvalue()]})
 
     def export(path: str) -> None:
-        whole = m.spark.read.option("wholetext", True).text(_ftd_files(m))
+        whole = m.spark.read.text(_ftd_files(m), wholetext=True)
         # The sink ends a file with a line feed, which readers of zips pass over.
         packed = whole.groupBy("source_file").applyInPandas(pack, "source_file string, content binary")
         packed.select("source_file", F.col("content").cast("string")).write.mode("overwrite").partitionBy("source_file").text(path)

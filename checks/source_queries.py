@@ -560,6 +560,36 @@ WHERE abs(v.bought - s.bought_value) > 1e-6 * greatest(abs(s.bought_value), 1) O
 )
 
 
+def _broken(m: CheckModel) -> dict[str, DataFrame]:
+    """The model's tables with every law broken: in second quarters a holder too many, a second report, a
+    second base and no names; and one end of chains that every identifier leads to leads on."""
+    second = F.month("period") == 6
+    parts, keys = m.table("filing_parts"), m.table("stock_keys")
+    last = keys.agg(F.max("cusip")).scalar()
+    end = F.when(F.col("cusip") == last, F.lit("elsewhere")).otherwise(last)
+    return {
+        "changes": m.table("changes").withColumn("opened", F.col("opened") + second.cast("int")),
+        "stock_periods": m.table("stock_periods"),
+        "filings": m.table("filings").unionByName(m.table("filings").where(second)),
+        "filing_parts": parts.unionByName(parts.where(second & (F.col("role") == "original"))),
+        "stock_keys": keys.withColumn("stock", end),
+        "price_check": m.table("price_check").withColumn("manager_name", F.when(~second, F.col("manager_name"))),
+    }
+
+
+check(
+    "dq_invariants_broken",
+    """
+SELECT 'funds add up' AS rule, count(*) AS violations FROM stock_periods s JOIN changes c ON c.cusip = s.cusip AND c.period = s.period
+WHERE s.funds_prev IS NOT NULL AND month(s.period) = 6
+UNION ALL SELECT 'one filing per manager and period', count(*) FROM filings WHERE month(period) = 6
+UNION ALL SELECT 'one base report per filing', count(DISTINCT (cik, period)) FROM filing_parts WHERE month(period) = 6 AND role = 'original'
+UNION ALL SELECT 'every stock is its own key', count(*) - 1 FROM stock_keys
+UNION ALL SELECT 'checked positions are named', count(*) FROM price_check WHERE month(period) = 6
+""",
+)(lambda m: quality.dq_invariants(_broken(m)))
+
+
 def _reference(m: CheckModel) -> DataFrame:
     """Published figures a little off ours."""
     off = F.dayofmonth("period") % 3
