@@ -3,11 +3,15 @@ provisional tickers that stand in until it answers."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.stats import desc_date, is_true
 from tidegauge.functions.text import clean_cusip, issuer_name_key, valid_cusip
+from tidegauge.session import shared_folder
+from tidegauge.sources.tables import write_table
 
 # The service's error for an identifier it rejects, and the stages of its cache rows.
 REJECTED = "Invalid idValue format."
@@ -51,12 +55,13 @@ def issuer_name_match(raw_sec_tickers: DataFrame, securities: DataFrame) -> Data
         .agg(F.min(F.struct("ticker", "title")).alias("t"), F.max("ticker").alias("other"))
         .where(F.col("t.ticker") == F.col("other"))
     )
-    named = securities.where(valid_cusip(F.col("cusip"))).select(
+    keyed = securities.where(valid_cusip(F.col("cusip"))).select(
         "cusip", "stock", issuer_name_key(F.col("name_filed")).alias("key")
     )
+    # Read twice below: written once, so that the long key expression runs once a security.
+    named = write_table(keyed.where(F.col("key") != ""), f"{shared_folder(securities.sparkSession)}/names-{uuid.uuid4().hex}")
     single = (
-        named.where(F.col("key") != "")
-        .groupBy("key")
+        named.groupBy("key")
         .agg(F.min("stock").alias("a"), F.max("stock").alias("b"))
         .where(F.col("a") == F.col("b"))
         .select("key")
