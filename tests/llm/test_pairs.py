@@ -1,6 +1,7 @@
 """SimHash groups and neighbours against brute force."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -124,3 +125,45 @@ def test_vectors_that_take_no_part(spark):
     got = nearest(df, df.where("vec_id % 20 = 0")).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5)]
     assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def alike(one, two):
+    """Similarity of five-word shingles, of the different ones or with repeats, whichever is more."""
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) for w in (one.lower().split(), two.lower().split())]
+    sets = [set(b) for b in bags]
+    return max(len(sets[0] & sets[1]) / len(sets[0] | sets[1]), (bags[0] & bags[1]).total() / (bags[0] | bags[1]).total())
+
+
+def test_planted_near_copies_go_and_the_rest_stays(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for size, changes in ((120, 1), (120, 2), (120, 3), (400, 4), (400, 7), (400, 12), (400, 30)):
+        for _ in range(8):
+            words = [word() for _ in range(size)]
+            texts.append(" ".join(words))
+            for at in rng.sample(range(size), changes):
+                words[at] = word()
+            texts.append(" ".join(words))
+    crowd = [word() for _ in range(300)]
+    for _ in range(150):  # a crowd of near copies, of which many pairs are less alike
+        words = list(crowd)
+        for at in rng.sample(range(300), rng.randint(1, 9)):
+            words[at] = word()
+        texts.append(" ".join(words))
+    texts += ["", "only three words", "Only  three WORDS", "a b"]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        if texts[i] and texts[j] and alike(texts[i], texts[j]) >= 0.8:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    want = {find(i) for i in range(len(texts))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.doc_id for r in deduplicate(df).collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(texts) - 120

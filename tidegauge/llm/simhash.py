@@ -9,6 +9,7 @@ bit from both, so each goes to 65 such values, and whoever meets there is linked
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import free_name, per_batch, staged
 from tidegauge.llm.components import components
+from tidegauge.llm.shingles import links_alike, with_keys
 
 BITS, BLOCKS, REACH = 64, 4, 2
 SHINGLE, SEED = 3, 42
@@ -103,14 +105,14 @@ def links_between(values: DataFrame, crowd: int = CROWD) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
-def near_copies(marked: DataFrame, column: str = "simhash") -> DataFrame:
-    """For rows with doc_id and a fingerprint in `column`: one row per distinct fingerprint with
-    component_id, the smallest doc_id of all rows reachable over links (null ids count only where there
+def near_copies(marked: DataFrame, column: str = "simhash", linked: Callable[[DataFrame], DataFrame] = links_between) -> DataFrame:
+    """For rows with doc_id and a fingerprint in `column`: one row per distinct fingerprint (of which
+    `linked` makes the links) with component_id, the smallest doc_id of all rows reachable over links (null ids count only where there
     is no other), and stays, the fingerprint of the row that stands for the component (of the smallest
     fingerprint, if several rows have that id)."""
     value = F.col(column)
     own = staged(marked.groupBy(value.alias("value")).agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(links_between(own.select("value")))
+    roots = components(linked(own.select("value")))
     rooted = own.join(roots.withColumnRenamed("node", "value"), "value", "left").select(
         "value", "least", F.coalesce("root", "value").alias("root")
     )
@@ -122,13 +124,13 @@ def near_copies(marked: DataFrame, column: str = "simhash") -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each component of near copies: that with the smallest doc_id, and of
-    repeated rows with that id one. Null and empty texts are copies of each other (fingerprint zero).
-    An empty table stays empty."""
-    value, place = free_name(docs, "simhash"), free_name(docs, "place")
-    marked = staged(with_fingerprints(docs, value), "marked")
-    groups = near_copies(marked.select("doc_id", value), value)
+    """`docs` with one row of each component of near copies (shingles.py: five words, a similarity of 4/5
+    or more): that with the smallest doc_id, and of repeated rows with that id one. Texts of the same
+    words are copies, and so are null and empty texts. An empty table stays empty."""
+    value, keys, place = free_name(docs, "whole"), free_name(docs, "keys"), free_name(docs, "place")
+    marked = staged(with_keys(docs, value, keys), "marked")
+    groups = near_copies(marked.select("doc_id", value), value, lambda _: links_alike(marked, value, keys))
     stays = groups.where(F.col(value) == F.col("stays")).select(F.col("stays"), F.col("component_id").alias("stays_id"))
     kept = marked.join(stays, (marked[value] == stays["stays"]) & marked["doc_id"].eqNullSafe(stays["stays_id"]), "left_semi")
     first = Window.partitionBy(value).orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(value, place)
+    return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(value, keys, place)
