@@ -16,7 +16,7 @@ from tidegauge.llm.common import table
 from tidegauge.llm.html_text import main_text, text_of_pages
 from tidegauge.llm.packing import closest_fill, pack, plan_windows, tokenizer_path
 from tidegauge.llm.pieces import BYTE, NORMAL, UNIGRAM, UNKNOWN, PieceModel, decoded, encoded, piece_model_path
-from tidegauge.llm.quality_rules import RiskParams, chance_of_so_few, choose_cutoffs, judge, measures_of
+from tidegauge.llm.quality_rules import RiskParams, chance_of_so_few, choose_cutoffs, choose_jointly, groups_of_strata, judge, measures_of
 from tidegauge.llm.secrets import RULES, by_path, masked, scan_versions
 from tidegauge.llm.warc import chunk_table, read_archives, record_table, records_in, write_archives
 
@@ -108,6 +108,18 @@ def test_rules_on_odd_documents(spark, documents, labels):
     assert judge(documents.limit(0), labels).count() == 0
 
 
+def test_rules_reject_with_a_few_hundred_labels(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(700 if i < 20 else 30)) for i in range(400)]
+    junk = [t[:150] + " #$%&" * 30 for t in texts[100:140]]
+    docs = spark.createDataFrame(list(enumerate(texts + junk)), "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 400 as int) as quality")
+    kept = {r.doc_id for r in judge(docs, labels).where("kept").collect()}
+    assert kept == set(range(400))
+    assert groups_of_strata([98, 702, 963, 420, 27], 188) == [0, 0, 2, 3, 3] and groups_of_strata([1, 2, 3, 4, 5], 188) == [0] * 5
+    good, bad = {(0,) * 6: 186, (1, 0, 0, 0, 0, 0): 1}, {(9, 0, 0, 0, 0, 0): 5}
+    assert choose_jointly({(0, y, o): n for y, rows in ((1, good), (0, bad)) for o, n in rows.items()}, RiskParams()) == {}
+
+
 def slow_spans(text):
     found = []
     for place, rule in enumerate(RULES):

@@ -1,19 +1,20 @@
 """Quality rules whose cutoffs carry a guarantee.
 
 Each rule rejects documents of which one measure is over a cutoff. Cutoffs are chosen from labelled
-documents, by stratum (length of the text) and rule: going from the loosest to the strictest, a cutoff
-is safe while the exact binomial test, at the level of `confidence` shared out over all strata and
-rules, shows that it rejects at most its part of `risk` of the good documents; the first that fails
-ends the walk (testing in a fixed order needs no further correction). Of the safe ones that which
-rejects most bad documents is taken, the loosest of these. So with probability `confidence`, no
-stratum loses more than `risk` of its good documents. A stratum with too few labels gets no cutoff.
+documents, by stratum (length of the text; neighbours with few labels are one): going through a fixed
+order from loose to strict, a step is safe while the exact binomial test, at the level of `confidence`
+shared out over strata and walks, shows that it rejects at most `risk` of the good documents; the
+first that fails ends the walk (testing in a fixed order needs no further correction). Two walks test
+all rules together, one each rule for its part of `risk`. Of the safe steps that which rejects most bad
+documents is taken, the loosest of these. So with probability `confidence`, no group of strata loses
+more than `risk` of its good documents. With too few labels in all there is no cutoff.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from math import exp, lgamma, log, log1p
+from math import ceil, exp, lgamma, log, log1p
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -133,19 +134,90 @@ def choose_cutoffs(counts: dict[tuple[int, int, int, int], int], params: RiskPar
     return chosen
 
 
+def steps_together() -> list[tuple[int, ...]]:
+    """All rules a cutoff stricter at every step; a rule at its strictest stays there."""
+    sizes = [len(c) for c in CUTOFFS.values()]
+    return [tuple(max(n - t, 1) for n in sizes) for t in range(max(sizes))]
+
+
+def steps_in_turn() -> list[tuple[int, ...]]:
+    """One rule after another, each from its loosest cutoff to its strictest, the ones before it kept."""
+    sizes = [len(c) for c in CUTOFFS.values()]
+    now, steps = [n + 1 for n in sizes], []
+    for r, n in enumerate(sizes):
+        for least in range(n, 0, -1):
+            now[r] = least
+            steps.append(tuple(now))
+    return steps
+
+
+def rejected_by(vector: tuple[int, ...], rows: dict[tuple[int, ...], int]) -> int:
+    return sum(n for over, n in rows.items() if any(o >= v for o, v in zip(over, vector, strict=True)))
+
+
+def walk(steps: list[tuple[int, ...]], good: dict[tuple[int, ...], int], bad: dict[tuple[int, ...], int], level: float, risk: float) -> tuple[int, tuple[int, ...] | None]:
+    """Of the steps before the first that is not safe for all rules at once, the loosest that rejects
+    most bad rows, and how many."""
+    most, best, n = 0, None, sum(good.values())
+    for vector in steps:
+        if chance_of_so_few(rejected_by(vector, good), n, risk) > level:
+            break
+        if (gain := rejected_by(vector, bad)) > most:
+            most, best = gain, vector
+    return most, best
+
+
+def groups_of_strata(good: list[int], least: int) -> list[int]:
+    """For each stratum the first of its group: runs of strata with `least` good labels or more. What is
+    left at the end joins the group before it. Only numbers of labels decide, not what is rejected."""
+    firsts, starts, held = [], [0], 0
+    for s, n in enumerate(good):
+        if held >= least:
+            starts.append(s)
+            held = 0
+        firsts.append(starts[-1])
+        held += n
+    if held < least and len(starts) > 1:
+        firsts = [starts[-2] if f == starts[-1] else f for f in firsts]
+    return firsts
+
+
+def choose_jointly(counts: dict[tuple[int, int, tuple[int, ...]], int], params: RiskParams) -> dict[tuple[int, int], int]:
+    """From counts by (stratum, label, over): cutoffs as choose_cutoffs() gives them. Three walks share
+    the level of a group of strata: two test what all rules reject together against the full risk, the
+    third tests each rule against its part. The one that rejects most bad rows counts."""
+    level = (1 - params.confidence) / 3
+    level_of_group = level / (len(STRATA) + 1)
+    size = [sum(n for (s, label, _), n in counts.items() if s == i and label == 1) for i in range(len(STRATA) + 1)]
+    firsts = groups_of_strata(size, ceil(log(level_of_group) / log1p(-params.risk)))
+    rows: dict[tuple[int, int], Counter] = {}
+    single: Counter = Counter()
+    for (s, label, over), n in counts.items():
+        rows.setdefault((firsts[s], label), Counter())[over] += n
+        for r, k in enumerate(over):
+            single[firsts[s], r, k, label] += n
+    alone = choose_cutoffs(single, RiskParams(params.risk, 1 - level))
+    chosen = {}
+    for first in set(firsts):
+        good, bad = (rows.get((first, label), Counter()) for label in (1, 0))
+        found = [walk(steps, good, bad, level_of_group, params.risk) for steps in (steps_in_turn(), steps_together())]
+        vector = tuple(alone.get((first, r), len(c) + 1) for r, c in enumerate(CUTOFFS.values()))
+        most, best = max([*found, (rejected_by(vector, bad), vector)], key=lambda x: x[0])
+        if most:
+            for s in (s for s, f in enumerate(firsts) if f == first):
+                chosen |= {(s, r): v for r, (v, c) in enumerate(zip(best, CUTOFFS.values(), strict=True)) if v <= len(c)}
+    return chosen
+
+
 def fit_rules(found: DataFrame, labels: DataFrame, params: RiskParams = RiskParams()) -> dict[tuple[int, int], int]:
     """Cutoffs from all labelled rows that are not held out and pass the base rules: `found` is
     measured(), `labels` has doc_id and quality (of two labels of an id the larger counts). The driver
-    gets one count per stratum, rule, cutoff and label."""
+    gets one count per stratum, label and combination of cutoffs a row is over."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     rows = found.where(~base_failed()).select("doc_id", stratum().alias("stratum"), "over").join(known, "doc_id")
-    counted = (
-        rows.select("stratum", "label", F.posexplode("over").alias("rule", "level"))
-        .groupBy("stratum", "rule", "level", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return choose_cutoffs({(r[0], r[1], r[2], r[3]): r[4] for r in counted.collect()}, params)
+    counted = rows.groupBy("stratum", "label", "over").agg(F.count(F.lit(1)).alias("n"))
+    return choose_jointly({(r[0], r[1], tuple(r[2])): r[3] for r in counted.collect()}, params)
 
 
 def judge(docs: DataFrame, labels: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
