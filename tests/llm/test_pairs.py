@@ -167,3 +167,20 @@ def test_planted_near_copies_go_and_the_rest_stays(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r.doc_id for r in deduplicate(df).collect()]
     assert sorted(got) == sorted(want) and len(want) < len(texts) - 120
+
+
+def test_recall_of_the_query_on_the_given_embeddings(spark, folder):
+    from tidegauge.llm.queries import QUERIES
+
+    for scale in ("sf0.001", "sf0.1"):
+        at = folder.replace("sf0.001", scale)
+        rows = [r for r in spark.read.parquet(f"{at}/embeddings.parquet").select("vec_id", "embedding").collect() if r.embedding]
+        ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+        got = {}
+        for r in QUERIES["op9_neighbours"](spark, at).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        found = []
+        for q in got:
+            near = [i for i in ids[np.argsort(-(vectors @ vectors[ids == q][0]), kind="stable")] if i != q][:20]
+            found.append(len(got[q] & set(near)) / 20)
+        assert len(got) == sum(ids % 20 == 0) and np.mean(found) >= 0.98

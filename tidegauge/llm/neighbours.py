@@ -24,13 +24,13 @@ from tidegauge.llm.common import staged
 @dataclass(frozen=True)
 class ForestParams:
     """`candidates` is the least share of a shard's different vectors, and `least` their least number,
-    that a query scores before it stops to ascend. Vectors without structure (random directions) need a large one: their nearest are hardly
-    nearer than the rest."""
+    that a query scores before it stops to ascend; a shard of no more vectors is scored whole, so exactly. Vectors without structure
+    (random directions) need large ones: their nearest are hardly nearer than the rest, and the share alone misses more of them the smaller the shard."""
 
     trees: int = 48
     bits: int = 32
     candidates: float = 0.4
-    least: int = 256
+    least: int = 8_192
     shard_rows: int = 16_384
     block_rows: int = 4_096
     seed: int = 11
