@@ -16,6 +16,7 @@ from tidegauge.llm.quality_classifier import fit_quality, score_quality
 from tidegauge.llm.quality_rules import judge
 from tidegauge.llm.secrets import RULES, by_path, scan_versions
 from tidegauge.llm.simhash import near_copies, with_fingerprints
+from tidegauge.llm.spelling import spelling_variants
 from tidegauge.llm.toxicity import fit_toxicity, score_toxicity
 from tidegauge.llm.warc import read_archives, write_archives
 
@@ -115,6 +116,11 @@ def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(spark, table(spark, folder, "documents"))
+
+
 def _secrets_sql() -> str:
     """Matches by the other engine's expressions, placed by adding up the texts between them."""
     quoted = [r.pattern.replace("'", "''") for r in RULES]
@@ -165,3 +171,48 @@ SELECT page_id, payload_bytes, payload_digest, if(page_id = head, 'response', 'r
        if(page_id = head, NULL, head) AS refers_to
 FROM firsts
 """
+
+# The checksum byte by byte from a table made by its rule; near words by the letter left out at one place.
+ORACLES["op11_spelling"] = """
+WITH RECURSIVE steps AS (
+    SELECT i, i AS c, 0 AS k FROM range(256) r(i)
+    UNION ALL
+    SELECT i, if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1), k + 1 FROM steps WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS entries FROM steps WHERE k = 8),
+runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run
+    FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (
+    SELECT run, times, hex(encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run))) AS h FROM counted
+), hashed AS (
+    SELECT run, times, xor(list_reduce(
+        list_transform(range(length(h) // 2), lambda i: CAST(concat('0x', substr(h, CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)),
+        lambda c, b: xor(c >> 8, entries[CAST(xor(c & 255, b) + 1 AS BIGINT)]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc
+    FROM coded, crc_table
+), damaged AS (
+    SELECT if(crc % 199 = 0, concat(substr(run, 1, crc % length(run)), substr(run, crc % length(run) + 2)), run) AS word, times
+    FROM hashed
+), words AS (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), less AS (
+    SELECT word, n, i, concat(substr(word, 1, i), substr(word, i + 2)) AS rest FROM words, range(64) r(i) WHERE i < length(word)
+), pairs AS (
+    SELECT x.word, y.word AS near, y.n AS m FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+    UNION
+    SELECT x.word, y.word, y.n FROM less x JOIN words y ON x.rest = y.word
+    UNION
+    SELECT y.word, x.word, x.n FROM less x JOIN words y ON x.rest = y.word
+), best AS (
+    SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, encode(near)) AS near, max(m) AS m FROM pairs GROUP BY word
+), formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, if(m >= 5 * n, near, NULL) AS form, if(m >= 5 * n, m, NULL) AS form_n
+    FROM words LEFT JOIN best USING (word)
+), chain AS (
+    SELECT word, word AS root, form AS onward FROM formed
+    UNION ALL
+    SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.onward
+)
+SELECT word, form, chain.root, n, n_near, form_n FROM formed JOIN chain USING (word) WHERE onward IS NULL
+"""
