@@ -11,9 +11,11 @@ from tidegauge.llm.common import held_out, prepare, staged, staging_folder, tabl
 from tidegauge.llm.html_text import text_of_pages
 from tidegauge.llm.neighbours import nearest
 from tidegauge.llm.packing import pack
+from tidegauge.llm.passages import without_repeats
 from tidegauge.llm.pieces import decoded, encoded
 from tidegauge.llm.quality_classifier import fit_quality, score_quality
 from tidegauge.llm.quality_rules import judge
+from tidegauge.llm.ranked_search import search
 from tidegauge.llm.secrets import RULES, by_path, scan_versions
 from tidegauge.llm.simhash import near_copies, with_fingerprints
 from tidegauge.llm.spelling import spelling_variants
@@ -121,6 +123,16 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(spark, table(spark, folder, "documents"))
 
 
+@query
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(spark, table(spark, folder, "documents"), kept=False)
+
+
 def _secrets_sql() -> str:
     """Matches by the other engine's expressions, placed by adding up the texts between them."""
     quoted = [r.pattern.replace("'", "''") for r in RULES]
@@ -216,3 +228,56 @@ coded AS (
 )
 SELECT word, form, chain.root, n, n_near, form_n FROM formed JOIN chain USING (word) WHERE onward IS NULL
 """
+
+ORACLES["op12_search"] = """
+WITH found AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM documents
+), counted AS (SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+lengths AS (SELECT doc_id, 100 - 25 + (25 * n * n_docs) // n_terms AS m FROM sizes, corpus),
+asked AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+        FROM benchmark
+    ) GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counted, corpus GROUP BY term, n_docs
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+# Every string of 50 bytes by its hexadecimal digits; a removed byte has such a string 0 to 49 bytes before it.
+ORACLES["op13_passages"] = """
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+coded AS (SELECT n, doc_id, t, strlen(t) AS size, hex(encode(t)) AS h FROM texts),
+strings AS (
+    SELECT n, doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s
+    FROM (SELECT n, doc_id, h, unnest(range(size - 49)) AS i FROM coded WHERE size >= 50)
+), earliest AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT n, i FROM strings JOIN earliest USING (s) WHERE first < doc_id),
+marked AS (
+    SELECT n, i, if(i - lag(i) OVER w <= 50, 0, 1) AS opens FROM gone WINDOW w AS (PARTITION BY n ORDER BY i)
+), numbered AS (
+    SELECT n, i, sum(opens) OVER (PARTITION BY n ORDER BY i) AS run FROM marked
+), runs AS (SELECT n, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY n, run),
+around AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY n ORDER BY a) AS left_end FROM runs),
+kept AS (
+    SELECT n, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last,
+           string_agg(substr(h, CAST(2 * left_end + 1 AS BIGINT), CAST(2 * (a - left_end) AS BIGINT)), '' ORDER BY a) AS parts
+    FROM around JOIN coded USING (n) GROUP BY n
+)
+SELECT doc_id, size AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(if(last IS NULL, encode(t), unhex(concat(parts, substr(h, CAST(2 * last + 1 AS BIGINT)))))) AS kept_sha256
+FROM coded LEFT JOIN kept USING (n)
+"""
