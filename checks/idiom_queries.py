@@ -120,7 +120,9 @@ WHERE o.left_it AND NOT n.left_it AND o.movers >= {P.change_min_moved} AND n.mov
 GROUP BY ALL
 """,
 )(
-    lambda m: m.table("cusip_moves").groupBy("period", "old_cusip", "new_cusip").agg(
+    lambda m: identity.all_moves(*identity.movers(*map(m.table, ("periods", "cusip_holders", "positions", "filings")), m.params), m.params).groupBy(
+        "period", "old_cusip", "new_cusip"
+    ).agg(
         _n("moved"), F.max("departed").alias("departed"), F.max("arrived").alias("arrived")
     )
 )

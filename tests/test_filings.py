@@ -1,4 +1,6 @@
 import io
+import itertools
+import random
 import zipfile
 
 import pytest
@@ -306,6 +308,56 @@ def test_a_replaced_identifier_is_found_and_a_coincidence_is_not(spark, tmp_path
     assert model.table("holders").where(F.col("cusip") == market.BIRCH.code).count() == 0
 
 
+def _moves_by_hand(left, opened, p):
+    """Pairs of identifiers with at least as many shared movers as a replacement needs, counted one by one."""
+    pairs = {}
+    for (old, cik, departed), (new, other, arrived) in itertools.product(left, opened):
+        if cik == other and old != new:
+            pairs.setdefault((old, new, departed, arrived), set()).add(cik)
+    return {
+        (o, n): len(c) for (o, n, d, a), c in pairs.items()
+        if len(c) >= max(p.change_min_moved, a / 2) and len(c) >= min(d / 2, p.change_partial_moved)
+    }
+
+
+def _sides(spark, left, opened):
+    frame = lambda rows, names: spark.createDataFrame(rows, names).withColumn("period", F.to_date(F.lit("2024-03-31")))
+    return frame(left, "old_cusip string, cik long, departed long"), frame(opened, "new_cusip string, cik long, arrived long")
+
+
+def test_candidate_pairs_lose_no_replacement(spark):
+    """Random movers of every load: all pairs that share enough are candidates."""
+    draw, p = random.Random(7), Params(change_min_moved=3, change_partial_moved=5)
+    sets = {}
+    for code in [f"o{i}" for i in range(25)] + [f"n{i}" for i in range(25)]:
+        sets[code] = set(draw.sample(range(40), draw.randint(3, 25)))
+    for i in range(10):  # most movers of some old codes go on together
+        sets[f"n{i}"] = set(draw.sample(sorted(sets[f"o{i}"]), max(3, len(sets[f"o{i}"]) * 3 // 4)))
+    left = [(c, m, len(s)) for c, s in sets.items() if c[0] == "o" for m in s]
+    opened = [(c, m, len(s)) for c, s in sets.items() if c[0] == "n" for m in s]
+    wanted = _moves_by_hand(left, opened, p)
+    for at_once in (identity.PAIRS, 4):
+        found = identity.candidate_pairs(*_sides(spark, left, opened), p, at_once).collect()
+        assert len(found) == len({(r["old_cusip"], r["new_cusip"]) for r in found})
+        assert wanted.keys() <= {(r["old_cusip"], r["new_cusip"]) for r in found} and len(wanted) > 20
+
+
+def test_a_heavy_manager_forms_no_square_of_pairs(spark):
+    """One manager leaves 5,000 identifiers and opens 5,000, each shared with 20 light ones of its own; one pair is
+    real. None of the 25,000,000 pairs but that one is formed."""
+    heavy, n = 0, 5_000
+    movers = spark.range(n * 20).select((F.col("id") % n).alias("i"), (F.col("id") + 1).alias("cik"))
+    both = lambda letter, far: movers.select(
+        F.concat(F.lit(letter), "i").alias("code"), F.when(F.col("i") == 0, F.col("cik")).otherwise(F.col("cik") + far).alias("cik")
+    ).union(spark.range(n).select(F.concat(F.lit(letter), "id"), F.lit(heavy).cast("long")))
+    side = lambda letter, far, code, count: both(letter, far).select(
+        F.col("code").alias(code), "cik", F.lit(21).cast("long").alias(count), F.to_date(F.lit("2024-03-31")).alias("period")
+    )
+    left, opened = side("o", 0, "old_cusip", "departed"), side("n", 10**7, "new_cusip", "arrived")
+    found = identity.candidate_pairs(left, opened, Params())
+    assert [(r["old_cusip"], r["new_cusip"]) for r in found.collect()] == [("o0", "n0")]
+
+
 def test_gaps_end_a_series_and_empty_quarters_follow_it(spark):
     """Held in Q1, not in Q2, held in Q3 and Q4, gone in Q5: the run is Q3 on."""
     days = ["2024-03-31", "2024-06-30", "2024-09-30", "2024-12-31", "2025-03-31"]

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidegauge.functions import dates, text, verdicts
+from tidegauge.functions import dates, stats, text, verdicts
 from tidegauge.functions.asof import asof
 from tidegauge.functions.stats import _bucket, exact_median, first_per_group, middle_buckets
 from tidegauge.operators.calendar import federal_holidays
@@ -140,6 +140,35 @@ def test_values_close_together_do_not_meet_in_one_task(spark):
     assert parts.agg(F.max("count")).first()[0] < 1000
 
 
+def test_a_dense_cluster_is_selected_in_rounds(spark, monkeypatch):
+    """A million different values within 1e-7 of each other, an outlier far off, small keys and a null key beside
+    them: what is left to rank in one task is bounded, and no key's median changes."""
+    n, left = 1_000_000, []
+    ranked = stats._between
+
+    def watched(rows, keys, out, count):
+        left.append(rows.groupBy(*keys, *(["_side"] if "_side" in rows.columns else [])).count().agg(F.max("count")).first()[0])
+        return ranked(rows, keys, out, count)
+
+    monkeypatch.setattr(stats, "_between", watched)
+    dense = spark.range(n).select(F.lit("k").alias("k"), (F.lit(3.0) + F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * (3e-7 / (1 << 30))).alias("v"))
+    few = spark.range(1001).select(F.when(F.col("id") % 2 == 0, F.lit("s")).alias("k"), F.col("id").cast("double").alias("v"))
+    df = dense.union(few).union(spark.createDataFrame([("k", 1e300), ("k", -5.0)], "k string, v double")).repartition(8)
+    found = {r["k"]: r["m"] for r in exact_median(df, ["k"], "v", "m").collect()}
+    low, high = df.where("k = 'k'").selectExpr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v) AS a", "percentile_disc(0.5) WITHIN GROUP (ORDER BY v DESC) AS b").first()
+    assert found == {"k": low * 0.5 + high * 0.5, "s": 500.0, None: 500.0}
+    assert max(left) <= stats._BOUND
+
+
+def test_rounds_part_the_two_middles(spark, monkeypatch):
+    """With room for two values, both halves of an even count are followed to values far apart."""
+    monkeypatch.setattr(stats, "_BOUND", 2)
+    values = [-1e6, -3.0, -2.999999, 0.0, 0.0, 1e-9, 7.0, 7.0000001, 7.0000002, 1e12]
+    df = spark.createDataFrame([("e", v) for v in values] + [("o", v) for v in values[:9]] + [("p", v) for v in (1.0, 2.0, 3e5, 4e5)], "k string, v double")
+    found = {r["k"]: (r["m"], r["n"]) for r in exact_median(df, ["k"], "v", "m", "n").collect()}
+    assert found == {"e": (0.0 * 0.5 + 1e-9 * 0.5, 10), "o": (0.0, 9), "p": (2.0 * 0.5 + 3e5 * 0.5, 4)}
+
+
 
 def test_asof_looks_both_ways(spark):
     day = lambda d: datetime.date(2024, 1, d)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.stats import exact_median, is_true, ratio_change
+from tidegauge.sources.tables import staged
 from tidegauge.operators.calendar import with_next
 from tidegauge.operators.identity import linked_stocks
 from tidegauge.params import Params
@@ -239,6 +240,8 @@ def stock_periods(
             "value_pct": ratio_change(F.col("value"), F.col("value_prev")),
         }
     )
+    # Read by the median and by the result: written once.
+    changed = staged(changed, "changed")
     compared = changed.where(
         (F.col("funds_holding") >= p.median_min_funds) & (F.col("funds_prev") >= p.median_min_funds)
     ).select("period", "kind", "funds_pct")

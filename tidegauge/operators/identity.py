@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.stats import desc_date, exact_median, first_per_group, is_true
@@ -13,15 +11,18 @@ from tidegauge.functions.verdicts import security_kind
 from tidegauge.operators.calendar import with_next
 from tidegauge.operators.positions import share_lines
 from tidegauge.params import Params
-from tidegauge.session import shared_folder
-from tidegauge.sources.tables import write_table
+from tidegauge.sources.tables import staged
 
 
-def cusip_moves(
+#: Pairs of a manager's departures and arrivals that one task forms.
+PAIRS = 100_000
+
+
+def movers(
     periods: DataFrame, cusip_holders: DataFrame, positions: DataFrame, filings: DataFrame, p: Params = Params()
-) -> DataFrame:
-    """Managers that left a shrunk identifier and opened a grown one in the same quarter, with the
-    ratios of shares and value. Write this table before reading it: several passes follow."""
+) -> tuple[DataFrame, DataFrame]:
+    """Managers that left a shrunk identifier (period, cik, old_cusip, s0, v0, departed) and managers that opened
+    a grown one (period, cik, new_cusip, s1, v1, arrived), with how many did so."""
     spine = F.broadcast(periods.select("period", "prev_period").where(F.col("prev_period").isNotNull()))
     ahead = F.broadcast(with_next(periods.select("period")))
     # Counts of each identifier on both dates: an equi-join, no self-range.
@@ -55,8 +56,7 @@ def cusip_moves(
     arrived = of(held, grown).join(
         of(held_before.select("cik", "period", "cusip"), grown), ["cik", "period", "cusip"], "left_anti"
     )
-    # A pair's movers number at most the smaller of its two counts. Each side is cut by its own count
-    # before pairs are made; what needs both counts is asked of the pairs.
+    # A pair's movers number at most the smaller of its two counts, so each side is cut by its own count.
     rows = F.count(F.lit(1))
     departures = departed.groupBy("period", F.col("cusip").alias("old_cusip")).agg(rows.alias("departed"))
     arrivals = arrived.groupBy("period", F.col("cusip").alias("new_cusip")).agg(rows.alias("arrived"))
@@ -65,16 +65,68 @@ def cusip_moves(
     left = departed.select(
         "period", "cik", F.col("cusip").alias("old_cusip"), F.col("shares").alias("s0"), F.col("value").alias("v0")
     ).join(departures, ["period", "old_cusip"])
-    joined = arrived.select(
+    opened = arrived.select(
         "period", "cik", F.col("cusip").alias("new_cusip"), F.col("shares").alias("s1"), F.col("value").alias("v1")
     ).join(arrivals, ["period", "new_cusip"])
+    return left, opened
+
+
+def _possible(p: Params) -> Column:
+    """Whether counts of both sides leave room for enough movers."""
     at_most = F.least("departed", "arrived")
-    possible = (
+    return (
         (F.col("old_cusip") != F.col("new_cusip"))
         & (at_most >= F.col("arrived") * 0.5)
         & ((at_most >= F.col("departed") * 0.5) | (at_most >= p.change_partial_moved))
     )
-    return left.join(joined, ["period", "cik"]).where(possible).select(
+
+
+def all_moves(left: DataFrame, opened: DataFrame, p: Params = Params()) -> DataFrame:
+    """Every pair of a departure and an arrival of one manager and quarter that both counts leave possible."""
+    return left.join(opened, ["period", "cik"]).where(_possible(p))
+
+
+def candidate_pairs(left: DataFrame, opened: DataFrame, p: Params = Params(), at_once: int = PAIRS) -> DataFrame:
+    """period, old_cusip, new_cusip: every pair that may share as many movers as a replacement needs, and few others.
+
+    A replacement shares at least t movers: of the new identifier's, half; of the old one's, half or the number
+    that shows one under way; never under the least number. Managers have one order, by how many pairs they
+    would form. Two sets that share t elements share one among all but the last t - 1 of each, so only these
+    meet, and a manager with thousands of departures and arrivals, last in the order, is seldom among them. Where
+    it is, its departures are dealt into parts, so that no task forms more than about `at_once` pairs a part."""
+    key = ["period", "cik"]
+    both = left.groupBy(*key).agg(F.count(F.lit(1)).alias("departures")).join(opened.groupBy(*key).agg(F.count(F.lit(1)).alias("arrivals")), key)
+    loads = both.select(*key, (F.col("departures") * F.col("arrivals")).alias("load"))
+    half = lambda c: F.ceil(F.col(c) * 0.5)
+    least = F.lit(p.change_min_moved)
+    old_needs = F.greatest(least, F.least(half("departed"), F.lit(p.change_partial_moved)))
+    new_needs = F.greatest(least, half("arrived"))
+
+    def first(rows: DataFrame, code: str, needs: Column) -> DataFrame:
+        group = Window.partitionBy("period", code)
+        placed = rows.join(loads, key).withColumns(
+            {"place": F.row_number().over(group.orderBy("load", "cik")), "size": F.count(F.lit(1)).over(group)}
+        )
+        return placed.where(F.col("place") <= F.col("size") - needs + 1).select(*key, code, "departed" if code == "old_cusip" else "arrived")
+
+    old, new = staged(first(left, "old_cusip", old_needs), "movers-old"), staged(first(opened, "new_cusip", new_needs), "movers-new")
+    met = old.groupBy(*key).agg(F.count(F.lit(1)).alias("n_old")).join(new.groupBy(*key).agg(F.count(F.lit(1)).alias("n_new")), key)
+    parts = met.select(*key, F.ceil(F.col("n_old") * F.col("n_new") / at_once).cast("int").alias("parts"))
+    dealt = old.join(parts, key).withColumn("part", F.pmod(F.xxhash64("old_cusip"), F.col("parts")).cast("int")).drop("parts")
+    copied = new.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.join(copied, [*key, "part"]).where(_possible(p)).select("period", "old_cusip", "new_cusip").distinct()
+
+
+def cusip_moves(
+    periods: DataFrame, cusip_holders: DataFrame, positions: DataFrame, filings: DataFrame, p: Params = Params()
+) -> DataFrame:
+    """Managers that left a shrunk identifier and opened a grown one in the same quarter, with the ratios of
+    shares and value, for the pairs that enough managers may share. First the pairs, without their ratios, then
+    the ratios of those that are left. Write this table before reading it: several passes follow."""
+    left, opened = (staged(side, "movers") for side in movers(periods, cusip_holders, positions, filings, p))
+    pairs = staged(candidate_pairs(left, opened, p), "move-pairs")
+    to_new = pairs.join(opened, ["period", "new_cusip"])
+    return to_new.join(left, ["period", "old_cusip", "cik"]).select(
         "period", "old_cusip", "new_cusip", "cik", "departed", "arrived",
         (F.col("s1") / F.col("s0")).alias("ratio"),
         (F.col("v1") / F.nullif("v0", F.lit(0.0))).alias("value_ratio"),
@@ -93,12 +145,17 @@ def cusip_changes(moves: DataFrame, p: Params = Params()) -> DataFrame:
         .where((F.col("moved") >= p.change_min_moved) & (F.col("moved") >= F.col("arrived") * 0.5))
     )
     kept = moves.join(enough.select(*pair), pair, "left_semi")
-    rates = exact_median(kept, pair, "ratio", "exchange_ratio")
+    # Both medians in one pass: two rows a mover, told apart by what they hold.
+    pair_of = lambda what, x: F.struct(F.lit(what).alias("what"), F.col(x).alias("x"))
+    two = F.explode(F.array(pair_of(0, "ratio"), pair_of(1, "value_ratio")))
+    medians = exact_median(kept.select(*pair, two.alias("two")).select(*pair, "two.*"), [*pair, "what"], "x", "median")
+    rates = medians.where("what = 0").select(*pair, F.col("median").alias("exchange_ratio"))
+    values = medians.where("what = 1").select(*pair, F.col("median").alias("value_ratio"))
     close = F.when(F.abs(F.col("ratio") / F.col("exchange_ratio") - 1) <= 0.05, 1.0).otherwise(0.0)
     alike = kept.join(rates, pair).groupBy(*pair).agg(
         F.avg(close).alias("same_ratio"), F.first("exchange_ratio").alias("exchange_ratio")
     )
-    scored = enough.join(alike, pair).join(exact_median(kept, pair, "value_ratio", "value_ratio"), pair)
+    scored = enough.join(alike, pair).join(values, pair)
     completed = (F.col("moved") >= F.col("departed") * 0.5) & (F.col("same_ratio") >= p.change_same_ratio)
     under_way = (F.col("moved") >= p.change_partial_moved) & (F.col("same_ratio") >= p.change_partial_same)
     real = scored.where(
@@ -159,7 +216,7 @@ def _circled(edges: DataFrame, n: int) -> DataFrame:
 
 
 def _staged(df: DataFrame) -> DataFrame:
-    return write_table(df, f"{shared_folder(df.sparkSession)}/walk-{uuid.uuid4().hex}")
+    return staged(df, "walk")
 
 
 def stock_keys(cusip_holders: DataFrame, cusip_changes: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.session import shared_folder
+
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Write a table as Parquet (whole, replacing what was there) and read it back.
@@ -20,3 +24,8 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> Da
 
 def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path).select(*like.columns)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to a new folder that all executors share, and read back."""
+    return write_table(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
