@@ -700,3 +700,45 @@ SELECT * EXCLUDE (n), n >= 5 AND 2 * ok < n AS unreliable FROM (
     WHERE w + INTERVAL 24 HOUR <= (SELECT max(seen_at) - INTERVAL 10 MINUTE FROM request_events) GROUP BY w, source)
 """,
 )(_streamed_health)
+
+
+def _kept_up_health(m: CheckModel) -> DataFrame:
+    """The newest report of each source that the stream with keyed state has written."""
+    timed = lambda: adapter.request_events(m.spark, m.folder).withColumn("at", F.col("at").cast("timestamp"))
+    events = m.derived("request_events", timed)
+
+    def run(path: str) -> None:
+        stream = m.spark.readStream.schema(events.schema).parquet(f"{m.path}/read-request_events")
+        reliability.start_reports(stream, path, f"{path}-checkpoint").awaitTermination()
+
+    reports = m.spark.read.schema(f"{reliability.REPORT}, unreliable boolean").parquet(m.exported("reliability-reports", run))
+    return reliability.newest_reports(reports).withColumn("last_ok", F.col("last_ok").cast("timestamp_ntz"))
+
+
+# The batch result at the last full hour that the stream has closed.
+table(
+    "seen_events",
+    """
+SELECT e.*, h FROM request_events e, (SELECT date_trunc('hour', max(seen_at) - INTERVAL 10 MINUTE - INTERVAL 1 MICROSECOND) AS h FROM request_events)
+WHERE seen_at <= h
+""",
+)
+table(
+    "seen_counts",
+    """
+SELECT source, count(*) FILTER (outcome = 'ok' AND seen_at > h - INTERVAL 24 HOUR) AS ok,
+       count(*) FILTER (outcome = 'failed' AND seen_at > h - INTERVAL 24 HOUR) AS failed,
+       count(*) FILTER (outcome = 'throttled' AND seen_at > h - INTERVAL 24 HOUR) AS throttled,
+       max(seen_at) FILTER (outcome = 'ok') AS last_ok,
+       first(error ORDER BY seen_at DESC, error DESC) FILTER (outcome <> 'ok') AS last_error
+FROM seen_events GROUP BY source
+""",
+)
+check(
+    "source_reliability_state",
+    """
+SELECT r.source, r.role, r.need, coalesce(c.ok, 0) AS ok, coalesce(c.failed, 0) AS failed, coalesce(c.throttled, 0) AS throttled,
+       c.last_ok, c.last_error, coalesce(c.ok + c.failed + c.throttled >= 5 AND 2 * c.ok < c.ok + c.failed + c.throttled, false) AS unreliable
+FROM (SELECT source, role, need FROM reliability) r LEFT JOIN seen_counts c ON c.source = r.source
+""",
+)(_kept_up_health)

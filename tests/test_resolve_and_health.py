@@ -99,6 +99,39 @@ def test_a_long_run_does_not_push_others_out(spark):
     assert found["openfigi"]["ok"] == 600 and found["sec"]["failed"] == 6 and found["sec"]["unreliable"]
 
 
+def test_keyed_state_keeps_the_last_answer_and_gives_the_batch_result(spark, tmp_path):
+    """Runs over hours: each report equals the batch result at its hour; a silent source counts down to zero but
+    keeps what it last said; an event on the full hour counts to the hour it ends; an hour reported is not changed
+    by an event that comes too late."""
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    hour = lambda h: start + datetime.timedelta(hours=h)
+    schema = "source string, at timestamp, outcome string, error string"
+    deliveries = [
+        [("sec", hour(0.5), "ok", None), ("sec", hour(1), "failed", "on the hour"), ("stooq", hour(0.2), "failed", "old"), ("stooq", hour(0.3), "odd", None)],
+        [("tiingo", hour(h), "failed", f"e{h}") for h in range(3, 9)] + [("sec", hour(5.5), "throttled", "slow")],
+        [("tiingo", hour(20), "ok", None), ("tiingo", hour(25.9), "ok", None), ("tiingo", hour(26.5), "ok", None)],
+        [("stooq", hour(2), "ok", None), ("tiingo", hour(60), "ok", None), ("tiingo", hour(62), "ok", None)],
+    ]
+    arrived, incoming, reports = [], str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(incoming)
+        reliability.start_reports(spark.readStream.schema(schema).parquet(incoming), reports, str(tmp_path / "cp")).awaitTermination()
+        arrived += rows
+    told = spark.read.schema(f"{reliability.REPORT}, unreliable boolean").parquet(reports)
+    in_time = spark.createDataFrame([r for r in arrived if r[:2] != ("stooq", hour(2))], schema)
+    same = ("source", "ok", "failed", "throttled", "last_ok", "last_error", "unreliable")
+    found = {(r["as_of"], r["source"]): tuple(r[c] for c in same) for r in told.collect()}
+    assert len(found) == told.count() and len({h for h, _ in found}) == 3
+    for as_of in {h for h, _ in found}:
+        batch = {r["source"]: tuple(r[c] for c in same) for r in reliability.source_reliability(in_time, F.lit(as_of)).collect()}
+        for (h, source), row in found.items():
+            assert h != as_of or row == batch[source]
+    newest = {r["source"]: r for r in reliability.newest_reports(told).collect()}
+    assert len(newest) == 7 and newest["polygon"]["last_ok"] is None
+    assert (newest["stooq"]["failed"], newest["stooq"]["last_error"], newest["stooq"]["last_ok"]) == (0, "old", None)
+    assert newest["sec"]["last_error"] == "slow" and newest["tiingo"]["ok"] == 1
+
+
 def loader(spark, tmp_path, **options):
     """Functions that deliver rows, run the load, and read what the table holds."""
     schema = "a string, source_zip string"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 HOURS = 24
 MIN_ATTEMPTS = 5
@@ -75,3 +78,109 @@ def reliability_stream(events: DataFrame, slide: str = "1 hour", late: str = "10
             "throttled", unreliable().alias("unreliable"),
         )
     )
+
+
+#: The store that keyed state with timers needs; set it on the session before the stream starts.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_HOUR = 3_600_000_000
+_HELD = "ok long, failed long, throttled long"
+_LAST = "last_ok long, error_at long, error string"
+REPORT = "source string, as_of timestamp, ok long, failed long, throttled long, last_ok timestamp, last_error string"
+
+
+class _Health(StatefulProcessor):
+    """A source's closed hours of the last day, and its last answer and last error of all time. Times are
+    microseconds; an hour goes by its end and holds what came after its start up to and with its end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hours = handle.getMapState("hours", "finish long", _HELD)
+        self.last = handle.getValueState("last", _LAST)
+        self.done = handle.getValueState("done", "finish long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last_ok, error_at, error = self.last.get() if self.last.exists() else (None, None, None)
+        first = None
+        for row in rows:
+            # An hour closes once, so nothing is added to it later.
+            self.hours.updateValue((row.finish,), (row.ok, row.failed, row.throttled))
+            first = row.finish if first is None else min(first, row.finish)
+            last_ok = max((t for t in (last_ok, row.last_ok) if t is not None), default=None)
+            if row.error_at is not None and (error_at is None or (row.error_at, row.error or "") > (error_at, error or "")):
+                error_at, error = row.error_at, row.error
+        self.last.update((last_ok, error_at, error))
+        if not self.done.exists() and first is not None:
+            self.done.update((first - _HOUR,))
+        yield from self._reports(key[0], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._reports(key[0], timerValues)
+
+    def _reports(self, source: str, timerValues) -> Iterator[Row]:
+        """The report of the last hour that the watermark closed, if none was given for it."""
+        closed = timerValues.getCurrentWatermarkInMs() * 1000 // _HOUR * _HOUR
+        if closed <= self.done.get()[0]:
+            self._wait(closed)
+            return
+        held = {k[0]: v for k, v in self.hours.iterator()}
+        since = closed - HOURS * _HOUR
+        counts = [sum(v[i] for finish, v in held.items() if since < finish <= closed) for i in range(3)]
+        for finish in held:
+            if finish <= since + _HOUR:
+                self.hours.removeKey((finish,))
+        self.done.update((closed,))
+        last_ok, _, error = self.last.get()
+        yield Row(source=source, as_of=closed, ok=counts[0], failed=counts[1], throttled=counts[2], last_ok=last_ok, last_error=error)
+        if any(counts):  # a silent source is followed until nothing counts any more
+            self._wait(closed)
+
+    def _wait(self, closed: int) -> None:
+        self.handle.registerTimer((closed + _HOUR) // 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def reliability_state_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Every source's outcomes over the 24 hours up to each full hour that the watermark has passed, with its last
+    answer and last error however long ago: the batch result of that hour, kept up as a stream.
+
+    Events are first counted by hour and source (partial aggregates, so a busy source stays spread); a keyed state
+    then holds the 24 closed hours of a source and what it last said. A timer gives the report of a source that has
+    fallen silent, until its counts are zero. Of hours that close together only the last is reported. The session
+    needs `STATE_STORE` (`start_reports` sets it)."""
+    ok = F.col("outcome") == "ok"
+    at = F.unix_micros("at")
+    hourly = (
+        events.where(F.col("outcome").isin("ok", "failed", "throttled"))
+        .withColumn("tick", F.col("at") - F.expr("INTERVAL 1 MICROSECOND"))
+        .withWatermark("tick", late)
+        .groupBy(F.window("tick", "1 hour").alias("w"), "source")
+        .agg(
+            *_outcomes(), F.max(F.when(ok, at)).alias("last_ok"), F.max(F.when(~ok, at)).alias("error_at"),
+            F.max_by(F.when(~ok, F.col("error")), F.when(~ok, F.struct(at, "error"))).alias("error"),
+        )
+        .select("source", F.unix_micros("w.end").alias("finish"), F.window_time("w").alias("closed_at"), "ok", "failed", "throttled", "last_ok", "error_at", "error")
+    )
+    told = REPORT.replace("timestamp", "long")
+    reports = hourly.groupBy("source").transformWithState(_Health(), told, "Append", "EventTime")
+    return reports.select(
+        "source", F.timestamp_micros("as_of").alias("as_of"), "ok", "failed", "throttled", F.timestamp_micros("last_ok").alias("last_ok"),
+        "last_error", unreliable().alias("unreliable"),
+    )
+
+
+def start_reports(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Add the reports of what has arrived since the last run to the Parquet folder `path`, and stop."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    writer = reliability_state_stream(events).writeStream.format("parquet").outputMode("append").option("path", path)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_reports(reports: DataFrame) -> DataFrame:
+    """Every known source with its newest report; zero counts where there is none."""
+    names = [c for c in reports.columns if c not in ("source", "as_of")]
+    newest = reports.groupBy("source").agg(F.max_by(F.struct(*names), "as_of").alias("r")).select("source", "r.*")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("ok", "failed", "throttled")]
+    known = F.broadcast(known_sources(reports.sparkSession)).join(newest, "source", "left")
+    return known.select("source", "role", "need", *zero, "last_ok", "last_error", F.coalesce("unreliable", F.lit(False)).alias("unreliable"))
