@@ -24,9 +24,9 @@ from tidegauge.llm.common import staged
 SPAN, MARK = 50, 20
 _WINDOW = SPAN - MARK + 1
 #: Bytes hashed at once, starts of one piece, bytes of one block of suffixes.
-CHUNK, LONGEST, BLOCK = 1 << 18, 4096, 1 << 21
+CHUNK, LONGEST, BLOCK = 1 << 17, 4096, 1 << 18
 #: Documents that may share a key before its pieces are dealt by each 50-byte string instead.
-CROWD = 4096
+CROWD = 1 << 16
 #: Documents of one batch that show a key to others; they prove that it is shared. More of them are dealt out.
 SHOWN, DEALT = 2, 1 << 16
 #: Pieces a task remembers so as not to send a text twice.
@@ -54,21 +54,43 @@ def _least_hashes(part: np.ndarray) -> np.ndarray:
     return np.minimum(h[: 16 - _WINDOW], h[_WINDOW - 16 :])
 
 
-def pieces_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start, number of 50-byte strings and key of each piece of a text; each string lies in one piece."""
-    whole = np.frombuffer(text, np.uint8)
-    starts, keys = [], []
-    for at in range(0, len(whole) - SPAN + 1, CHUNK):
-        found = _least_hashes(whole[at : at + CHUNK + SPAN - 1])
-        new = np.concatenate([[True], found[1:] != found[:-1]])
-        new[::LONGEST] = True
-        first = np.flatnonzero(new)
-        starts.append(first + at)
-        keys.append(found[first])
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.concatenate(starts)
-    return start, np.diff(start, append=len(whole) - SPAN + 1), np.concatenate(keys).view(np.int64)
+def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each piece of some texts: which text, start, number of 50-byte strings, key. Each string lies in one
+    piece. Short texts are hashed together, long ones in chunks."""
+    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+    group: list[tuple[int, int, bytes]] = []
+    held = 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text) - SPAN + 1, CHUNK):
+            part = text[at : at + CHUNK + SPAN - 1]
+            group.append((i, at, part))
+            held += len(part)
+            if held >= CHUNK:
+                found.append(_pieces_of_group(group))
+                group, held = [], 0
+    if group:
+        found.append(_pieces_of_group(group))
+    which, start, count, key = (np.concatenate(c) for c in zip(*found, strict=True))
+    return which, start, count, key.view(np.int64)
+
+
+def _pieces_of_group(group: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    least = _least_hashes(np.frombuffer(b"".join(part for _, _, part in group), np.uint8))
+    size = np.array([len(part) for _, _, part in group])
+    head = np.cumsum(size) - size
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    new[::LONGEST] = True
+    new[head] = True
+    # Strings over the border of two texts are in neither: the last of a text ends with it.
+    stop = np.append(head[1:] - SPAN + 1, len(least))
+    new[stop[:-1]] = True
+    first = np.flatnonzero(new)
+    of = np.searchsorted(head, first, side="right") - 1
+    inside = first < stop[of]
+    count = np.diff(first, append=len(least))[inside]
+    first, of = first[inside], of[inside]
+    which, offset = (np.array([g[i] for g in group], np.int64) for i in (0, 1))
+    return which[of], first - head[of] + offset[of], count, least[first]
 
 
 def shared_keys(docs: DataFrame) -> DataFrame:
@@ -78,11 +100,8 @@ def shared_keys(docs: DataFrame) -> DataFrame:
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
-            found = [np.unique(pieces_of(t)[2]) for t in batch["text"].cast(pa.binary()).to_pylist()]
-            if not found:
-                continue
-            keys, owners = np.concatenate(found), np.repeat(ids, [len(f) for f in found])
+            which, _, _, keys = pieces_of(batch["text"].to_pylist())
+            owners = batch["doc_id"].to_numpy()[which]
             order = np.lexsort((owners, keys))
             keys, owners = keys[order], owners[order]
             new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])])[: len(keys)]
@@ -99,83 +118,97 @@ def shared_keys(docs: DataFrame) -> DataFrame:
     return seen.where("share > 0 or least < most").select("key", "doc_id")
 
 
+def _of_text(text: bytes) -> int:
+    """A number that tells texts of one doc_id apart (two agree with a probability of 2 to the power of -32)."""
+    return xxhash.xxh32_intdigest(text) - (1 << 31)
+
+
+def _name(piece: bytes) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(piece), "big", signed=True)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of texts whose keys are listed: where each lies, and its text the first time a task meets it
     (or meets it in an earlier document). Pieces of a crowded key are cut into single strings with keys of their own."""
     known: dict[int, int] = {}
     for batch in batches:
-        for doc, text, keys, crowded in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "keys", "crowded")), strict=True):
-            start, count, key = pieces_of(text)
-            of_text = xxhash.xxh3_64_intdigest(text) >> 1
-            wanted = np.isin(key, np.array(keys, np.int64))
-            start, count, key = start[wanted], count[wanted], key[wanted]
-            alone = np.isin(key, np.array(crowded, np.int64))
-            cut = [(s, n, k) for s, n, k in zip(start[~alone].tolist(), count[~alone].tolist(), key[~alone].tolist(), strict=True)]
-            cut += [(i, 1, None) for s, n in zip(start[alone].tolist(), count[alone].tolist(), strict=True) for i in range(s, s + n)]
-            names, texts, ks = [], [], []
-            for s, n, k in cut:
-                piece = text[s : s + n + SPAN - 1]
-                name = int.from_bytes(xxhash.xxh3_64_digest(piece), "little", signed=True)
-                new = known.get(name, doc + 1) > doc
-                if new:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[name] = doc
-                names.append(name)
-                texts.append(piece if new else None)
-                ks.append(name if k is None else k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([doc] * len(cut), pa.int64()), pa.array([of_text] * len(cut), pa.int64()), pa.array([c[0] for c in cut], pa.int64()),
-                 pa.array(names, pa.int64()), pa.array(ks, pa.int64()), pa.array(texts, pa.binary())],
-                names=["doc_id", "of_text", "at", "name", "key", "piece"],
-            )
+        texts, ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
+        which, start, count, key = pieces_of(texts)
+        # What one text's list says of a key holds for all.
+        wanted = np.isin(key, batch["keys"].flatten().to_numpy())
+        which, start, count, key = which[wanted], start[wanted], count[wanted], key[wanted]
+        alone = np.isin(key, batch["crowded"].flatten().to_numpy())
+        times = np.where(alone, count, 1)
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        which, start, key = np.repeat(which, times), np.repeat(start, times) + nth, np.repeat(key, times)
+        finish = start + np.where(np.repeat(alone, times), 1, np.repeat(count, times)) + SPAN - 1
+        names, pieces = [], []
+        for i, a, b in zip(which.tolist(), start.tolist(), finish.tolist(), strict=True):
+            piece, doc = texts[i][a:b], ids[i]
+            name = _name(piece)
+            names.append(name)
+            if known.get(name, doc + 1) > doc:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[name] = doc
+                pieces.append(piece)
+            else:
+                pieces.append(None)
+        named = np.array(names, np.int64)
+        keys = np.where(np.repeat(alone, times), named, key)
+        of_text = np.array([_of_text(t) for t in texts], np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(ids, np.int64)[which]), pa.array(of_text[which]), pa.array(start), pa.array(named), pa.array(keys), pa.array(pieces, pa.binary())],
+            names=["doc_id", "of_text", "at", "name", "key", "piece"],
+        )
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Positions of `text` sorted by the 64 bytes from each on: ranks of 8 bytes, doubled three times."""
+    """Positions of `text` sorted by the 64 bytes from each on: by 8 bytes, then three times those that tie by
+    the ranks of what follows, which doubles the length."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     value = np.zeros(n, np.uint64)
     for i in range(8):
         value = (value << np.uint64(8)) | padded[i : i + n]
-    for size in (8, 16, 32, 64):
-        order = np.argsort(value)
-        ordered = value[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        if size < 64:
-            after = np.zeros(n, np.uint64)
-            after[: n - size] = rank[size:]
-            value = rank * np.uint64(n + 1) + after
+    order = np.argsort(value)
+    value = value[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]])
+    rank = np.empty(n + 64, np.int64)
+    rank[n:] = -1
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    for size in (8, 16, 32):
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
+            break
+        at = order[tied]
+        value = rank[at] * (n + 1) + rank[at + size] + 1
+        by = np.argsort(value)
+        order[tied], value = at[by], value[by]
+        new[tied[1:]] |= value[1:] != value[:-1]
+        first = np.concatenate([[True], value[1:] != value[:-1]])
+        rank[order[tied]] = tied[np.maximum.accumulate(np.where(first, np.arange(len(tied)), 0))]
     return order
 
 
 def parted(text: np.ndarray, order: np.ndarray, least: int = SPAN) -> np.ndarray:
     """Whether each suffix, in order, shares fewer than `least` bytes with the one before it."""
-    n = len(text)
     before = text[order - 1]  # the Burrows-Wheeler transform
-    back = np.argsort(before, kind="stable")  # row of a suffix less its first byte: rows of one byte keep their order
+    back = np.argsort(before, kind="stable").astype(np.int32)  # row of a suffix less its first byte: rows of one byte keep their order
     first = text[order]
     cut = np.concatenate([[True], first[1:] != first[:-1]])
-    heads = np.append(np.flatnonzero(cut), n)
     still = np.flatnonzero(~cut)
-    new = heads[:-1]
+    lower, upper, new = back[still - 1], back[still], cut.copy()
     for _ in range(1, least):
         # Rows with one byte in front of two groups that the last step parted are parted now.
-        if len(new) * len(heads) * 4 > n:
-            at = np.zeros(n, np.int32)
-            at[new] = 1
-            groups = np.cumsum(at, dtype=np.int32)[back]
-            hit = still[groups[still] != groups[still - 1]]
-        else:
-            hit = np.concatenate([i + np.searchsorted(back[i:j], new) for i, j in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True)])
-            hit = np.unique(hit[hit < n])
-            hit = hit[~cut[hit]]
-        if not len(hit):
+        groups = np.cumsum(new, dtype=np.int32)
+        hit = groups[lower] != groups[upper]
+        if not hit.any():
             break
-        cut[hit] = True
-        still = still[~cut[still]]
-        new = hit
+        new[:] = False
+        new[still[hit]] = True
+        cut |= new
+        still, lower, upper = still[~hit], lower[~hit], upper[~hit]
     return cut
 
 
@@ -204,15 +237,15 @@ def _first_docs(names: list[int], docs: list[int], pieces: list[bytes]) -> pa.Re
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole keys from rows (key, name, doc_id, piece) sorted by key."""
+    """Blocks of whole keys from rows (key, doc_id, piece) sorted by key."""
     block: dict[int, list] = {}
     held, last = 0, None
     for batch in batches:
-        for key, name, doc, piece in zip(*(batch[c].to_pylist() for c in ("key", "name", "doc_id", "piece")), strict=True):
+        for key, doc, piece in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "piece")), strict=True):
             if held >= BLOCK and key != last:
                 yield _first_docs(list(block), [d for d, _ in block.values()], [p for _, p in block.values()])
                 block, held = {}, 0
-            last = key
+            last, name = key, _name(piece)
             if name in block:
                 block[name][0] = min(block[name][0], doc)
             else:
@@ -226,7 +259,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc, text, spans in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
-            of_text = xxhash.xxh3_64_intdigest(text) >> 1
+            of_text = _of_text(text)
             gone = np.zeros(len(text) + 1, np.int32)
             for s in spans:
                 if s["of_text"] == of_text:
@@ -261,8 +294,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, kept: bool = True) ->
         .agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("crowd"), F.col("key"))).alias("crowded"))
     )
     listed = staged(listed, "listed")
-    cut = texts.join(listed, "doc_id").mapInArrow(_cut, "doc_id long, of_text long, at long, name long, key long, piece binary")
-    found = cut.where("piece is not null").select("key", "name", "doc_id", "piece").repartition("key").sortWithinPartitions("key")
+    cut = texts.join(listed, "doc_id").mapInArrow(_cut, "doc_id long, of_text int, at long, name long, key long, piece binary")
+    found = cut.where("piece is not null").select("key", "doc_id", "piece").repartition("key").sortWithinPartitions("key")
     firsts_of = found.mapInArrow(_repeats, "name long, start long, count long, first long")
     spans = (
         cut.select("name", "doc_id", "of_text", "at")
