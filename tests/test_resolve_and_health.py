@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import resolve
 from tidegauge.streaming import reliability
-from tidegauge.streaming.ingest import audited_batch, stream_ingest
+from tidegauge.streaming.ingest import audited_batch, due_deliveries, stream_ingest
 
 ANSWER = "cusip string, id_type string, id_value string, response string, fetched_at string"
 
@@ -185,6 +185,41 @@ def test_a_delivery_replaces_only_when_it_is_complete(spark, tmp_path):
     assert run() == [("new", "y"), ("newer", "y")]
 
 
+def test_a_batch_opens_no_earlier_delivery(spark, tmp_path):
+    """The landed files of an earlier delivery are spoilt: later ones load without them, and a late declaration is met."""
+    declared = [("x", "1", 2), ("y", "1", 1), ("x", "3", 1)]
+    expected = lambda session: session.createDataFrame(declared, "source_zip string, load_delivery string, expected long")
+    deliver, run = loader(spark, tmp_path, expected=expected)
+    deliver("1", ("a", "x"), ("b", "x"), ("c", "y"))
+    assert run() == [("a", "x"), ("b", "x"), ("c", "y")]
+    spoilt = list((tmp_path / "out-deliveries").glob("source_zip=*/load_delivery=1/*/*.parquet"))
+    for file in spoilt:
+        file.write_bytes(b"no parquet")
+    assert len(spoilt) == 2
+    deliver("2", ("d", "x"))  # nothing declares it yet
+    assert run() == [("a", "x"), ("b", "x"), ("c", "y")]
+    deliver("3", ("e", "x"))
+    assert run() == [("c", "y"), ("e", "x")]
+    declared.append(("z", "4", 1))
+    declared.append(("x", "2", 1))
+    deliver("4", ("f", "z"))
+    assert run() == [("c", "y"), ("e", "x"), ("f", "z")]
+
+
+def test_what_is_due_comes_from_counts_and_a_repeated_batch_gives_the_same(spark):
+    ledger = spark.createDataFrame(
+        [("x", "1", 2, 0), ("x", "2", 1, 1), ("x", "2", 1, 2), ("y", "1", 5, 0), ("z", "1", 1, 2)],
+        "source_zip string, load_delivery string, load_rows long, load_batch long",
+    )
+    held = spark.createDataFrame([("x", "1", 0), ("y", "1", 0), ("x", "2", 2), ("z", "1", 2)], "source_zip string, load_delivery string, load_batch long")
+    expected = spark.createDataFrame([("x", "1", 2), ("x", "2", 2), ("y", "1", 5), ("z", "1", 1)], "source_zip string, load_delivery string, expected long")
+    due = lambda n, e=expected: sorted(tuple(r) for r in due_deliveries(ledger, held, n, expected=e).collect())
+    assert due(0) == [("x", "1"), ("y", "1")]
+    assert due(1) == [] and due(1, None) == [("x", "2")]
+    assert due(2) == due(2) == [("x", "2"), ("z", "1")]  # as when the batch first ran
+    assert due(3) == []
+
+
 def test_batches_that_disagree_with_their_files_are_left_out(spark):
     batch = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "y")], "a string, source_zip string")
     expected = spark.createDataFrame([("x", 2), ("y", 2)], "source_zip string, expected bigint")
