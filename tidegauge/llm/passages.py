@@ -286,10 +286,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, kept: bool = True) ->
     heads = rows.where(F.col("n_bytes") >= SPAN).groupBy("digest").agg(F.min("doc_id").alias("earliest"))
     shared = staged(shared_keys(texts), "shared")
     crowds = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key", F.lit(True).alias("crowd"))
+    crowds = staged(crowds, "crowds")
+    marked = shared.withColumn("crowd", F.lit(False)) if crowds.isEmpty() else shared.join(crowds, "key", "left")
     firsts = heads.select(F.col("earliest").alias("doc_id")).distinct()
     listed = (
-        shared.join(crowds, "key", "left")
-        .join(firsts, "doc_id", "left_semi")
+        marked.join(firsts, "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("crowd"), F.col("key"))).alias("crowded"))
     )
