@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,9 +151,15 @@ def by_path(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] =
     return named.join(lists, "blob", "left").withColumns({c: F.coalesce(c, empty) for c in ("spans", "base")})
 
 
-def masked(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """`docs` with every finding in `text` replaced by MASK (touching or overlapping ones by one) and
-    n_chars, where there is such a column, brought up to date. Rows and other columns stay."""
+def masked(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """`docs` with every finding in `text` (of these rules) replaced by MASK (touching or overlapping ones by one)
+    and n_chars, where there is such a column, brought up to date. Rows and other columns stay. A text that no
+    rule's pattern meets anywhere has no finding, and stays where it is: only the others move to join theirs."""
+    meets = F.coalesce(reduce(Column.__or__, (F.col("text").rlike(r.pattern) for r in rules)), F.lit(False))
+    return _masked(docs.where(meets), findings).unionByName(docs.where(~meets))
+
+
+def _masked(docs: DataFrame, findings: DataFrame) -> DataFrame:
     before = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     first = F.row_number().over(Window.partitionBy("blob").orderBy("start", "end")) == 1
     opens = findings.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0))).withColumn("first", first)
