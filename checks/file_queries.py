@@ -23,26 +23,72 @@ from tidegauge.sources.facts import scan_keyed_json
 # --- archives -----------------------------------------------------------------------------------------
 
 
-def _zipped(m: CheckModel) -> DataFrame:
-    """The holding lines packed into the archives they came in."""
-    columns = list(_COLUMNS["raw_infotable"])
+_MEMBERS = {table: member for member, table in filings.MEMBERS.items()}
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            lines = ["\t".join(columns)]
-            lines += ["\t".join("" if v is None else v for v in row) for row in rows[columns].itertuples(index=False)]
-            archive.writestr("data/infotable.tsv", "\n".join(lines) + "\n")
-        return pd.DataFrame({"path": [f"/delivered/{rows['source_zip'].iloc[0]}"], "content": [out.getvalue()]})
 
-    rows = m.table("raw_infotable").select(*columns, "source_zip")
-    return rows.groupBy("source_zip").applyInPandas(pack, "path string, content binary")
+def _zip_folder(m: CheckModel) -> str:
+    """The raw tables packed into the archives they came in, as files named after them, each with the four members."""
+    tables = {name: [c for c in m.table(name).columns if c != "source_zip"] for name in _MEMBERS}
+
+    def export(path: str) -> None:
+        def pack(rows: pd.DataFrame) -> pd.DataFrame:
+            source = rows["source_zip"].iloc[0]
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for name, columns in tables.items():
+                    lines = ["\t".join(columns), *rows["line"][rows["name"] == name]]
+                    archive.writestr(f"data/{_MEMBERS[name].lower()}.tsv", "\n".join(lines) + "\n")
+            return pd.DataFrame({"source_zip": [source], "content": [out.getvalue()]})
+
+        lines = None
+        for name, columns in tables.items():
+            fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+            part = m.table(name).select("source_zip", F.lit(name).alias("name"), F.concat_ws("\t", *fields).alias("line"))
+            lines = part if lines is None else lines.unionByName(part)
+        packed = lines.groupBy("source_zip").applyInPandas(pack, "source_zip string, content binary")
+        folder = m.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(m.spark.sparkContext._jsc.hadoopConfiguration())
+        for row in packed.toLocalIterator():  # the files of the check, one at a time
+            file = system.create(m.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{row['source_zip']}"))
+            file.write(row["content"])
+            file.close()
+
+    return m.exported("zips", export)
 
 
 check("scan_zip_members", "SELECT * REPLACE (nullif(FIGI, '') AS FIGI) FROM raw_infotable")(
-    lambda m: filings.unpack_archives(_zipped(m), "INFOTABLE", list(_COLUMNS["raw_infotable"]))
+    lambda m: filings.scan_zip_members(m.spark, _zip_folder(m), "INFOTABLE", list(_COLUMNS["raw_infotable"]), "*.zip")
+)
+
+
+def _loaded(m: CheckModel) -> str:
+    """The tables that a load of the archives wrote, after a second load that finds nothing new."""
+
+    def export(path: str) -> None:
+        for _ in range(2):
+            filings.load_archives(m.spark, _zip_folder(m), path, F.lit("2026-10-01 00:00:00"), "*.zip")
+
+    return m.exported("loaded-archives", export)
+
+
+check("load_archives", "SELECT * REPLACE (nullif(FIGI, '') AS FIGI) FROM raw_infotable")(
+    lambda m: filings.read_by_source(m.spark, f"{_loaded(m)}/raw_infotable", list(_COLUMNS["raw_infotable"]))
 )
 
+
+def _loaded_log(m: CheckModel) -> DataFrame:
+    """What the log of the load tells, next to the bytes of each file and whether its hash is that of its bytes."""
+    files = m.spark.read.format("binaryFile").load(_zip_folder(m))
+    held = files.select(filings.file_name(F.col("path")).alias("source_zip"), F.length("content").alias("bytes"), F.sha2("content", 256).alias("hash"))
+    log = m.spark.read.parquet(f"{_loaded(m)}/load_log").join(held, "source_zip")
+    return log.select(
+        "source_zip", "table_name", "row_count", "loaded_at",
+        ((F.col("zip_bytes") == F.col("bytes")) & (F.col("zip_sha256") == F.col("hash"))).alias("as_filed"),
+    )
+
+
+check("load_archives_log", "SELECT source_zip, table_name, row_count, loaded_at, true AS as_filed FROM load_log")(_loaded_log)
+
 # --- price files ----------------------------------------------------------------------------------------
 
 
