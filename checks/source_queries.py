@@ -53,10 +53,10 @@ check(
 check(
     "load_row_audit_short",
     """
-SELECT source_zip, count(*) FILTER (WHERE CUSIP < '5') AS loaded, count(*) AS expected FROM raw_infotable
+SELECT source_zip, count(*) FILTER (WHERE CUSIP < '1') AS loaded, count(*) AS expected FROM raw_infotable
 GROUP BY source_zip HAVING loaded <> expected
 """,
-)(lambda m: filings.load_row_audit(_scanned(m).where("CUSIP < '5'"), filings.data_lines(m.spark, _tsv_folder(m))))
+)(lambda m: filings.load_row_audit(_scanned(m).where("CUSIP < '1'"), filings.data_lines(m.spark, _tsv_folder(m))))
 
 
 def _archives(m: CheckModel) -> DataFrame:
