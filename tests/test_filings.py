@@ -1,3 +1,4 @@
+import hashlib
 import io
 import itertools
 import random
@@ -11,6 +12,7 @@ from tests import market
 from tidegauge.operators import filings, identity, positions, reads
 from tidegauge.params import Params
 from tidegauge.plans.model import STEPS, Model
+from tidegauge.sources import archives
 from tidegauge.sources import filings as files
 
 SMALL = Params(median_min_funds=10, min_funds=10, change_min_funds=10, change_min_moved=10, min_positions=2)
@@ -408,6 +410,51 @@ def test_a_book_is_exported_as_csv(spark, built, tmp_path):
     assert sum(float(r["weight"]) for r in rows if r["weight"]) == pytest.approx(1.0, abs=1e-5)
 
 
+def test_layouts_of_one_folder_are_two_scans_however_many_files(spark, tmp_path):
+    folder = tmp_path / "q1"
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"part-{i}.tsv").write_text(f"A\tB\n{i}\tx\n" if i % 2 else f"B\tA\ny\t{i}")
+    (folder / "part-7.tsv").write_text("")
+    scanned = files.scan_filing_tsv(spark, str(tmp_path), ["A", "B", "C"])
+    assert sorted((r["A"], r["B"], r["C"], r["source_zip"]) for r in scanned.collect()) == [
+        (str(i), "x" if i % 2 else "y", None, "q1") for i in range(6)
+    ]
+    assert scanned._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    (folder / "part-8.tsv").write_text("A\tB\n1\t2\t3\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed|columns"):
+        files.scan_filing_tsv(spark, str(tmp_path), ["A"]).collect()
+
+
+class _Watched(io.BytesIO):
+    """A file that remembers the most bytes one read gave."""
+
+    most = 0
+
+    def read(self, size=-1):
+        given = super().read(size)
+        self.most = max(self.most, len(given))
+        return given
+
+
+def test_an_archive_is_streamed_whatever_its_size():
+    """A member of 60 MB in an archive of under 1 MB: no read and no batch grows with it, and numbers run on."""
+    out, lines = _Watched(), 3_000_000
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, archive.open("X/a.TSV", "w", force_zip64=True) as member:
+        member.write(b"n\tv\r\n")
+        for _ in range(30):
+            member.write(b"0123456789\t1234567\r\n" * (lines // 30))
+    seen = largest = 0
+    for batch in archives.lines_of(out, "file:/in/a.zip", "A"):
+        assert batch["number"][0].as_py() == seen
+        seen += len(batch)
+        largest = max(largest, batch.nbytes)
+    assert seen == lines + 1 and largest < 3 * archives.BATCH_BYTES and out.most <= archives.READ_BYTES
+    out.seek(0)
+    size, digest = archives.digest_of(out)
+    assert size == len(out.getvalue()) and digest == hashlib.sha256(out.getvalue()).hexdigest()
+
+
 def test_known_archives_are_skipped(spark, tmp_path):
     market.write_zips(tmp_path)
     archives = files.archive_files(spark, str(tmp_path))

@@ -26,6 +26,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 BATCH_BYTES, READ_BYTES = 4 << 20, 1 << 20
 LINES = "source_zip string, member string, number bigint, line binary"
 FILES = "source_zip string, path string, zip_bytes bigint, zip_sha256 string"
+TOPS = "path string, line binary"
+#: Files whose first lines one task reads.
+TOPS_AT_ONCE = 64
 
 
 def open_file(path: str) -> BinaryIO:
@@ -79,15 +82,25 @@ def digest_of(file: BinaryIO) -> tuple[int, str]:
     return size, digest.hexdigest()
 
 
+def first_lines(paths: list[str]) -> Iterator[pa.RecordBatch]:
+    """The first line of each file that has one."""
+    for path in paths:
+        with open_file(path) as file:
+            line = BufferedReader(file, 1 << 16).readline()
+        if line:
+            yield pa.RecordBatch.from_pylist([{"path": path, "line": line.rstrip(b"\r\n")}])
+
+
 class ArchiveSource(DataSource):
-    """Format `filing_archives`. Options: paths (a JSON list), members (a JSON list), part: lines, headers or files."""
+    """Format `filing_archives`. Options: paths (a JSON list), members (a JSON list), part: lines, headers or files
+    of archives, or tops, the first lines of plain files."""
 
     @classmethod
     def name(cls) -> str:
         return "filing_archives"
 
     def schema(self) -> str:
-        return FILES if self.options["part"] == "files" else LINES
+        return {"files": FILES, "tops": TOPS}.get(self.options["part"], LINES)
 
     def reader(self, schema) -> DataSourceReader:
         return _ArchiveReader(self.options["part"], json.loads(self.options["paths"]), json.loads(self.options.get("members", "[]")))
@@ -98,6 +111,9 @@ class _ArchiveReader(DataSourceReader):
         self.part, self.paths, self.members = part, paths, members
 
     def partitions(self) -> list[InputPartition]:
+        if self.part == "tops":
+            groups = [self.paths[i : i + TOPS_AT_ONCE] for i in range(0, len(self.paths), TOPS_AT_ONCE)]
+            return [InputPartition((group, "")) for group in groups] or [InputPartition(None)]
         of = [""] if self.part == "files" else self.members
         # A scan of no archive still needs a partition.
         return [InputPartition((path, member)) for path in self.paths for member in of] or [InputPartition(None)]
@@ -106,6 +122,9 @@ class _ArchiveReader(DataSourceReader):
         if partition.value is None:
             return
         path, member = partition.value
+        if self.part == "tops":
+            yield from first_lines(path)
+            return
         with open_file(path) as file:
             if self.part == "files":
                 size, digest = digest_of(file)
@@ -115,10 +134,10 @@ class _ArchiveReader(DataSourceReader):
                 yield from lines_of(file, path, member, self.part == "headers")
 
 
-def archive_paths(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    """The archives of a folder; Spark lists them, no content is read."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-    return sorted(r["path"] for r in listed.collect())
+def archive_paths(spark: SparkSession, folder: str | list[str], pattern: str = "*", below: bool = False) -> list[str]:
+    """The files of a folder (or of all below it); Spark lists them, no content is read."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", below)
+    return sorted(r["path"] for r in reader.load(folder).select("path").collect())
 
 
 def read_archives(spark: SparkSession, paths: list[str], part: str, members: tuple[str, ...] = ()) -> DataFrame:
