@@ -1,10 +1,11 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions.verdicts import priced_in
-from tidegauge.operators import backtest, fundamentals, screen
+from tidegauge.operators import backtest, fundamentals, prices, screen
 from tidegauge.params import Params
 
 P = Params()
@@ -183,6 +184,27 @@ def test_quarters_and_totals(spark):
     assert totals["list_return"] == pytest.approx(0.2) and totals["market_return"] == pytest.approx(0.1)
 
 
+def test_closes_near_a_day_equal_brute_force(spark):
+    """Days in months with and without closes, before the first and after the last, on a close itself, twice over, and
+    missing; the scan is cut to the days."""
+    draw = random.Random(6)
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
+    closes = [(s, day(n), float(n + len(s))) for s in ("x", "yy", "z") for n in draw.sample(range(0, 700), 40)]
+    closes = list({(s, d): (s, d, c) for s, d, c in closes}.values())
+    asked = [(i, draw.choice(("x", "yy", "none", None)), draw.choice((day(draw.randint(-40, 760)), closes[i % len(closes)][1]))) for i in range(200)]
+    asked += [(300, "x", None), *((400 + i, *asked[0][1:]) for i in range(3))]
+    raw = spark.createDataFrame([(s, d, c, 1.0, "a") for s, d, c in closes] + [("x", None, 1.0, 1.0, "a"), ("x", day(5), -1.0, 1.0, "a")], "symbol string, day date, close double, volume double, source string")
+    dates = spark.createDataFrame(asked, "id int, symbol string, at date")
+    for look, side, best in (
+        (prices.first_close_on_or_after, lambda d, at: d >= at, min), (prices.last_close_on_or_before, lambda d, at: d <= at, max),
+    ):
+        found = look(dates, raw, "at", "f")
+        got = {r["id"]: r["f"] and (r["f"]["day"], r["f"]["close"]) for r in found.collect()}
+        want = {i: best(((d, c) for s, d, c in closes if s == symbol and at and side(d, at)), default=None) for i, symbol, at in asked}
+        assert got == want and found.columns == ["id", "symbol", "at", "f"]
+        assert look(dates.where("at is null"), raw, "at", "f").where("f is not null").count() == 0
+
+
 def test_runs_are_compared(spark):
     at = lambda d: datetime.datetime(2026, 1, d)
     schema = "run_at timestamp_ntz, period date, rank int, cusip string, rules string"

@@ -128,22 +128,37 @@ def stock_prices(
     )
 
 
-def _closes_asked_for(raw_prices: DataFrame, dates: DataFrame) -> DataFrame:
-    """Closes of the symbols that are asked for: the rest is never shuffled."""
-    asked = dates.select("symbol").distinct()
-    return usable_prices(raw_prices).select("symbol", "day", "close").join(asked, "symbol", "left_semi")
+def _close_near(dates: DataFrame, raw_prices: DataFrame, day: str, out: str, forward: bool) -> DataFrame:
+    """Each row of `dates` with the close nearest to its day on one side, looked up on two levels: inside the day's
+    own month (an equi-join of at most 31 days), else in the nearest other month that has closes, of which only the
+    first or last counts. What is ordered by symbol is months, never days; the scan is cut to the days asked for
+    on the side that is open, and to the symbols."""
+    asked = dates.select("symbol", F.col(day).alias("asked")).where(F.col("symbol").isNotNull() & F.col("asked").isNotNull()).distinct()
+    low, high = asked.agg(F.min("asked"), F.max("asked")).first()
+    if low is None:
+        return dates.withColumn(out, F.lit(None).cast("struct<day: date, close: double>"))
+    reach = F.col("day") >= F.lit(low) if forward else F.col("day") <= F.lit(high)
+    nearest = (F.min if forward else F.max)(F.struct("day", "close")).alias("near")
+    closes = usable_prices(raw_prices).select("symbol", "day", "close").where(reach)
+    closes = closes.join(asked.select("symbol").distinct(), "symbol", "left_semi").withColumn("month", F.trunc("day", "month").cast("date"))
+    in_month = asked.withColumn("month", F.trunc("asked", "month").cast("date"))
+    side = F.col("day") >= F.col("asked") if forward else F.col("day") <= F.col("asked")
+    own = in_month.join(closes, ["symbol", "month"]).where(side).groupBy("symbol", "asked").agg(nearest)
+    by_month = closes.groupBy("symbol", "month").agg(nearest)
+    beyond = F.add_months("month", 1) if forward else F.date_sub("month", 1)
+    others = asof(in_month.withColumn("beyond", beyond), by_month, "symbol", "beyond", "month", F.struct("near"), "other", forward)
+    found = others.join(own, ["symbol", "asked"], "left").select("symbol", F.col("asked").alias(day), F.coalesce("near", "other.near").alias(out))
+    return dates.join(found, ["symbol", day], "left").select(*dates.columns, out)
 
 
 def first_close_on_or_after(dates: DataFrame, raw_prices: DataFrame, day: str, out: str) -> DataFrame:
     """Each (symbol, day) row with the first close on or after the day, as struct(day, close)."""
-    closes = _closes_asked_for(raw_prices, dates)
-    return asof(dates, closes, "symbol", day, "day", F.struct("day", "close"), out, forward=True)
+    return _close_near(dates, raw_prices, day, out, forward=True)
 
 
 def last_close_on_or_before(dates: DataFrame, raw_prices: DataFrame, day: str, out: str) -> DataFrame:
     """Each (symbol, day) row with the last close on or before the day, as struct(day, close)."""
-    closes = _closes_asked_for(raw_prices, dates)
-    return asof(dates, closes, "symbol", day, "day", F.struct("day", "close"), out)
+    return _close_near(dates, raw_prices, day, out, forward=False)
 
 
 def stock_price_lookup(stock_prices: DataFrame, periods: DataFrame, p: Params = Params()) -> DataFrame:
