@@ -47,6 +47,13 @@ def bounded_sample(labels: DataFrame, rows: int) -> DataFrame:
     )
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """One row for each doc_id: of several the least by its other columns. Combined before the shuffle,
+    so that an id repeated in many rows costs no task more than its partitions."""
+    others = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("least")).select("doc_id", "least.*")
+
+
 def staging_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that all executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

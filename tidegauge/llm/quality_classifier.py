@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import bounded_sample, per_batch
+from tidegauge.llm.common import bounded_sample, one_per_id, per_batch
 
 STATISTICS = (
     "words", "chars_per_word", "longest_word", "distinct_words", "top_word", "repeated_trigrams", "capital_words",
@@ -155,8 +155,8 @@ def predict(forest: Forest, rows: np.ndarray) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> Forest:
     """Learn from at most params.max_rows labelled rows (of `labels`: doc_id, quality), taken in an order
-    that depends on doc_id alone; rows without a label or an id teach nothing. Only their statistics,
-    a few hundred bytes a row, come to the driver."""
+    that depends on doc_id alone; rows without a label or an id teach nothing. Of rows that repeat an id
+    one is learnt from. Only their statistics, a few hundred bytes a row, come to the driver."""
     wanted = bounded_sample(labels.select("doc_id", F.col("quality").cast("int").alias("label")), params.max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
 
@@ -165,11 +165,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
             found = pa.array(list(map(statistics_of, batch.column("text").to_pylist())), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), found], ["doc_id", "label", "found"])
 
-    got = rows.mapInArrow(measured, "doc_id long, label int, found array<double>").toArrow()
-    matrix = np.array(got.column("found").to_pylist(), dtype=float).reshape(-1, len(STATISTICS))
-    ids = got.column("doc_id").to_numpy()
-    order = np.lexsort((*matrix.T, ids))
-    return train(matrix[order], got.column("label").to_numpy()[order].astype(float), params)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = one_per_id(rows.mapInArrow(measured, f"doc_id {kind}, label int, found array<double>"))
+    got = sorted(found.toArrow().to_pylist(), key=lambda r: r["doc_id"])
+    matrix = np.array([r["found"] for r in got], dtype=float).reshape(-1, len(STATISTICS))
+    return train(matrix, np.array([r["label"] for r in got], dtype=float), params)
 
 
 def score_quality(docs: DataFrame, forest: Forest, column: str = "quality_score") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import bounded_sample, per_batch
+from tidegauge.llm.common import bounded_sample, one_per_id, per_batch
 
 WORD = re.compile(r"\w+")
 SHORTEST, LONGEST = 3, 6
@@ -190,7 +190,8 @@ class Scorer:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Learn from at most params.max_rows labelled rows (of `labels`: doc_id, toxic), taken in an order
-    that depends on doc_id alone; rows without a label, an id or a text teach nothing."""
+    that depends on doc_id alone; rows without a label, an id or a text teach nothing. Of rows that
+    repeat an id one is learnt from, so no more than max_rows rows come to the driver."""
     wanted = bounded_sample(labels.select("doc_id", F.col("toxic").cast("int").alias("label")), params.max_rows)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(wanted), "doc_id")
 
@@ -207,9 +208,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
                 ["doc_id", "label", "words", "counts"],
             )
 
-    got = rows.mapInArrow(bags, "doc_id long, label int, words string, counts array<int>").toArrow()
-    order = np.lexsort((got.column("words").to_numpy(), got.column("doc_id").to_numpy()))
-    got = got.take(pa.array(order)).to_pylist()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = one_per_id(rows.mapInArrow(bags, f"doc_id {kind}, label int, words string, counts array<int>"))
+    got = sorted(found.toArrow().to_pylist(), key=lambda r: r["doc_id"])
     return train(((dict(zip(r["words"].split(" "), r["counts"], strict=True)), r["label"]) for r in got if r["counts"]), params)
 
 
