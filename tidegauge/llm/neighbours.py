@@ -24,13 +24,14 @@ from tidegauge.llm.common import staged
 @dataclass(frozen=True)
 class ForestParams:
     """`candidates` is the least share of a shard's different vectors, and `least` their least number,
-    that a query scores before it stops to ascend; a shard of no more vectors is scored whole, so exactly. Vectors without structure
-    (random directions) need large ones: their nearest are hardly nearer than the rest, and the share alone misses more of them the smaller the shard."""
+    that a query scores before it stops to ascend; a shard of no more vectors is scored whole, so exactly.
+    Vectors without structure (random directions) need large ones: their nearest are hardly nearer than
+    the rest, and the share alone misses more of them the smaller the shard."""
 
     trees: int = 48
     bits: int = 32
     candidates: float = 0.4
-    least: int = 8_192
+    least: int = 2_048
     shard_rows: int = 16_384
     block_rows: int = 4_096
     seed: int = 11
@@ -94,7 +95,7 @@ class PrefixForest:
 
 def nearest_in_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, params: ForestParams):
     """(query, id, score) rows: the k nearest candidates of each query, ties to the smaller id, the
-    query's own row left out. Copies of a vector are one entry of the forest with their smallest k + 1
+    query's own row (its id with its vector) left out. Copies of a vector are one entry of the forest with their smallest k + 1
     ids, which is all that can be among the nearest."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
@@ -115,7 +116,7 @@ def nearest_in_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
         sizes = np.minimum(starts[places + 1] - starts[places], k + 1)
         members = by_class[np.repeat(starts[places], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
         some, score = ids[members], np.repeat(scores, sizes)
-        others = some != own
+        others = (some != own) | ~np.repeat((near == query).all(axis=1), sizes)
         some, score = some[others], score[others]
         best = np.lexsort((some, -score))[:k]
         out_query.append(np.full(len(best), own))
@@ -136,12 +137,14 @@ def usable(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, params: ForestParams = ForestParams()) -> DataFrame:
     """For each distinct vec_id of `queries` its k nearest of `vectors` (both vec_id, embedding), all but
     itself: query_id, rank, vec_id, score. Vectors of another number of components than a query have no
-    inner product with it and are no candidates. Repeated rows of one id and vector count once. Null,
+    inner product with it and are no candidates. Repeated rows of one id and vector count once. Of an id
+    with several vectors the least (component by component) is searched for; the others stay candidates,
+    its own too. Null,
     zero and non-finite vectors take no part, on either side.
 
     A task holds one shard and one block, both bounded; answers of k rows a shard meet in one window."""
     base = staged(usable(vectors).distinct().withColumn("width", F.size("embedding")), "vectors")
-    asked = staged(usable(queries).dropDuplicates(["vec_id"]).withColumn("width", F.size("embedding")), "asked")
+    asked = staged(usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("width", F.size("embedding")), "asked")
     shards = {r["width"]: max(1, -(-r["n"] // params.shard_rows)) for r in base.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = {r["width"]: max(1, -(-r["n"] // params.block_rows)) for r in asked.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
     widths = sorted(set(shards) & set(blocks))
