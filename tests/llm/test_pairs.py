@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 from tidegauge.llm.components import components
-from tidegauge.llm.neighbours import ForestParams, nearest
+from tidegauge.llm.neighbours import ForestParams, PrefixForest, nearest
 from tidegauge.llm.simhash import deduplicate, fingerprint_of, links_between, near_copies, with_fingerprints
 
 
@@ -118,6 +118,26 @@ def test_neighbours_of_all_candidates_are_exact_and_of_few_nearly(spark):
             assert got == want
 
 
+def test_forest_on_shards_well_above_the_floor():
+    rng = np.random.default_rng(8)
+    for rows in (5_000, 9_000, 16_384):
+        vectors = rng.normal(size=(rows, 64))
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+        queries = vectors[:: rows // 40]
+        forest, found, scored = PrefixForest(vectors, ForestParams()), [], []
+        for query, places in zip(queries, forest.candidates(queries), strict=True):
+            near = np.argsort(-(vectors @ query))[:21]
+            found.append(np.isin(near, places).mean())
+            scored.append(len(places) / rows)
+        assert np.mean(found) >= 0.92 and np.mean(scored) <= 0.7
+
+
+def test_ids_with_several_vectors(spark):
+    df = frame(spark, [(20, [2, 1]), (20, [1, 3]), (20, [1, 3]), (1, [1, 0]), (2, [1, 0]), (1, [0, 1])])
+    got = [(r["rank"], r.vec_id, r.score) for r in nearest(df, df.where("vec_id % 20 = 0")).orderBy("rank").collect()]
+    assert got == [(1, 20, 5.0), (2, 1, 3.0), (3, 1, 1.0), (4, 2, 1.0)]
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1, 0]), (1, [0.5, 1]), (2, None), (3, [0, 0]), (4, [None, 1]), (5, [float("nan"), 1]), (6, [float("inf"), 1])]
     rows += [(20, None), (40, [0, 0]), (7, [1, 2, 3]), (None, [1, 1]), (1, [0.5, 1]), (8, [])]

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import random
 import re
+import time
+import zlib
 from base64 import b32encode
 from collections import Counter
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import quality_classifier, toxicity
 from tidegauge.llm.common import table
-from tidegauge.llm.html_text import main_text, text_of_pages
+from tidegauge.llm.html_text import main_text, text_of_pages, tokens_of
 from tidegauge.llm.packing import closest_fill, pack, plan_windows, tokenizer_path
 from tidegauge.llm.pieces import BYTE, NORMAL, UNIGRAM, UNKNOWN, PieceModel, decoded, encoded, piece_model_path
 from tidegauge.llm.quality_rules import RiskParams, chance_of_so_few, choose_cutoffs, choose_jointly, groups_of_strata, judge, measures_of
@@ -39,6 +41,89 @@ def test_subword_scores_reach_unseen_misspellings():
         assert 0 <= toxicity.Scorer(model)(["a"])[0] <= 1
 
 
+def test_scores_are_the_mean_of_subword_vectors():
+    """Against the definition: FNV over the code points of each subword, mixed, one number a bucket."""
+    model = toxicity.ToxicityModel(np.random.default_rng(3).normal(size=1 << 12).astype(np.float32), 0.25)
+
+    def mixed(value):
+        value = (value ^ value >> 15) * 0x85EBCA6B % 2**32
+        value = (value ^ value >> 13) * 0xC2B2AE35 % 2**32
+        return value >> 20
+
+    def number(word):
+        codes = [ord(c) for c in f"<{word}>"]
+        whole = sum(c * pow(0x01000193, i + 1, 2**32) for i, c in enumerate(codes)) * (toxicity.LONGEST + 1) % 2**32
+        buckets = [mixed(whole)]
+        for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1):
+            for at in range(len(codes) - n + 1):
+                value = n
+                for c in codes[at : at + n]:
+                    value = (value * 0x01000193 + c) % 2**32
+                buckets.append(mixed(value))
+        return sum(float(model.weights[b]) for b in buckets) / len(buckets)
+
+    texts = ["Some plain words, some twice", "x", "über-lange Wörter " * 9, "a1 b2 " + "z" * 90, "", None]
+    for text, got in zip(texts, toxicity.Scorer(model)(texts), strict=True):
+        words = toxicity.words_of(text)
+        mean = sum(map(number, words)) / len(words) if words else 0.0
+        assert got == pytest.approx(1 / (1 + np.exp(-(0.25 + mean))), rel=1e-6)
+
+
+def statistics_by_hand(text):
+    """The statistics of a text, one plain loop each."""
+    words = re.findall(r"\S+", text)
+    small = [w.lower() for w in words]
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    raw = text.encode()
+    share = lambda keep: sum(map(keep, raw)) / len(raw)
+    of = lambda chars: share(lambda b: chr(b) in chars)
+    n, m = len(words) or 1, len(lines) or 1
+    triples = [tuple(small[i : i + 3]) for i in range(len(small) - 2)]
+    longest, run = 1, 1
+    for a, b in zip(raw, raw[1:]):  # noqa: B905
+        run = run + 1 if a == b else 1
+        longest = max(longest, run)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return {
+        "words": np.log1p(len(words)), "chars_per_word": sum(len(w) for w in words) / n,
+        "longest_word": np.log1p(max([len(w) for w in words] or [0])), "distinct_words": len(set(small)) / n,
+        "top_word": max([small.count(w) for w in small] or [0]) / n,
+        "repeated_trigrams": 1 - len(set(triples)) / len(triples) if triples else 0.0,
+        "capital_words": len([w for w in words if w.isupper()]) / n, "title_words": len([w for w in words if w.istitle()]) / n,
+        "stop_share": len([w for w in small if len(w) < 4]) / n, "lines": np.log1p(len(lines)), "chars_per_line": np.log1p(len(text) / m),
+        "short_lines": len([x for x in lines if len(x) < 30]) / m, "repeated_lines": 1 - len(set(lines)) / m if lines else 0.0,
+        "ended_lines": len([x for x in lines if x.endswith((".", "!", "?", '"', "'"))]) / m, "letters": of(upper + upper.lower()),
+        "capitals": of(upper), "digits": of("0123456789"), "spaces": of(" \t\r\n\v\f"), "symbols": of("#*$%&|<>{}[]=_~^\\@"),
+        "marks": of(".,;:?!'\"()-"), "bangs": of("!"), "pipes": of("|"), "high_bytes": share(lambda b: b > 127),
+        "longest_run": np.log1p(longest), "packed": len(zlib.compress(raw, 1)) / len(raw),
+    }
+
+
+def test_statistics_of_texts():
+    rng = random.Random(6)
+    texts = ["x", "   ", "\n\n", "One two. One two! one\nTwo?\n\n ONE", "é|é #tag {a: 1}"]
+    texts += ["".join(rng.choices("ab cD.\n!|é19#", k=rng.randint(1, 300))) for _ in range(200)]
+    for text in texts:
+        want = statistics_by_hand(text)
+        assert tuple(want) == quality_classifier.STATISTICS
+        assert quality_classifier.statistics_of(text) == pytest.approx(list(want.values()))
+    assert not any(quality_classifier.statistics_of("")) and not any(quality_classifier.statistics_of(None))
+
+
+def test_repeated_ids_teach_once(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(("fine words here now" if i % 2 else "foul bad worse !!!").split(), k=30))) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    for kind in ("long", "string"):
+        once = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+        marks = labels.withColumn("doc_id", F.col("doc_id").cast(kind))
+        many = once.union(once.where("doc_id in (2, 3)")).repartition(5)
+        one, two = (quality_classifier.fit_quality(d, marks) for d in (once, many))
+        assert np.array_equal(one.cut, two.cut) and np.array_equal(one.value, two.value)
+        one, two = (toxicity.fit_toxicity(d, marks) for d in (once, many))
+        assert np.array_equal(one.weights, two.weights) and one.bias == two.bias
+
+
 def test_scores_of_odd_documents(spark, documents, labels):
     for fit, score in ((toxicity.fit_toxicity, toxicity.score_toxicity), (quality_classifier.fit_quality, quality_classifier.score_quality)):
         for docs, marks in ((documents, labels), (documents, labels.limit(0)), (documents.limit(0), labels)):
@@ -257,8 +342,69 @@ def test_main_text(spark):
     assert main_text("<p>tiny</p>") == "tiny" and main_text("a < b & c") == "a < b & c"
     for odd in (None, "", "   ", "<script>never closed", "<!-- never closed", "<p", "<" * 5000, "<b" * 3000, '<p class="x>' * 500):
         assert isinstance(main_text(odd), str)
+    for unit in ("<script ", "<p hello ", '<a "', "<a '\">", "<b>", "</i>", "<", "<!-", "<li></li>", "</script ", " class='"):
+        for page in (unit * (400_000 // len(unit)), '<a title="' + unit * (400_000 // len(unit)), "<b>" * 50_000 + unit * (200_000 // len(unit)) + ">"):
+            start = time.process_time()
+            main_text(page)
+            assert time.process_time() - start < 10  # some seconds at most; with the square of the page, minutes
     pages = spark.createDataFrame([(1, None), (2, "<p>x</p>")], "page_id long, html string")
     assert [r.t for r in pages.select(text_of_pages("html").alias("t")).collect()] == ["", "x"]
+    assert pages.limit(0).select(text_of_pages("html")).count() == 0
+    clashing = pages.union(pages).withColumn("text", F.lit("kept")).withColumn("t", text_of_pages("html"))
+    assert sorted((r.page_id, r.text, r.t) for r in clashing.collect()) == [(1, "kept", "")] * 2 + [(2, "kept", "x")] * 2
+
+
+def test_names_of_what_is_no_main_text():
+    for name in ("sidebar", "cookie-notice", "site_footer", "main-nav", "sidebar-left", "ad-slot", "related-posts", "social-links", "page__comments", "newsletter-box"):
+        assert main_text(f"<p>Kept.</p><div class='x {name}'><p>gone</p></div>") == "Kept.", name
+    for name in ("has-sidebar", "no-header", "header-fixed", "social-science", "article-header", "adventure", "searching"):
+        assert main_text(f"<div class='{name}'><h1>Head</h1></div><p>Kept.</p>") == "Head Kept.", name
+    assert main_text("<div class='sidebar'><article>Only this.</article></div>") == "Only this."
+    assert main_text("<p>Kept.</p><div class='comments'><article>gone</article></div>") == "Kept."
+    assert main_text("<p title='not hidden, class=ad'>Kept.</p><p hidden>gone</p><p style='display: none'>gone</p>") == "Kept."
+
+
+def tokens_by_hand(html):
+    """The tokens of a page, each looked for from its own start, character by character."""
+    out, i = [], 0
+    raw_end = lambda tag, at: next((j for j in range(at, len(html)) if html[j : j + len(tag) + 2].lower() == f"</{tag}" and html[j + len(tag) + 2 : j + len(tag) + 3] in (*" />\n",)), None)
+    while i < len(html):
+        named = re.match(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)", html[i:])
+        if html[i] != "<":
+            out.append(("text", html[i]))
+            i += 1
+        elif html[i : i + 4] == "<!--":
+            i = html.index("-->", i + 2) + 3 if "-->" in html[i + 2 :] else len(html)
+        elif ">" not in html[i:] or not (named or html[i + 1] in "!?"):
+            out.append(("text", "<"))
+            i += 1
+        elif not named:
+            i = html.index(">", i) + 1
+        else:
+            at, quote = i + named.end(), ""
+            while at < len(html) and (quote or html[at] != ">"):
+                quote = ("" if html[at] == quote else quote) if quote else html[at] if html[at] in "\"'" else ""
+                at += 1
+            at = html.index(">", i) if at == len(html) else at
+            ends, tag = named[1], named[2].lower()
+            rest, i = html[i + named.end() : at], at + 1
+            if tag not in ("script", "svg"):
+                out.append((tag, bool(ends), rest))
+            elif not ends and not (tag == "svg" and rest.endswith("/")):
+                found = raw_end(tag, i)
+                i = html.index(">", found) + 1 if found is not None and ">" in html[found:] else len(html)
+    return out
+
+
+def test_tokens_of_random_markup():
+    rng = random.Random(9)
+    bits = ["<", ">", "</", "<p", "<a ", "<b>", "'", '"', "<!--", "-->", "<!", "<script", "<script>", "</script", "</script>", "<svg/>", "</svg >", " ", "x", "=", "/", "y>", "<div class='a'>"]
+    for _ in range(20_000):
+        html = "".join(rng.choices(bits, k=rng.randint(1, 14)))
+        got = []
+        for text, tag, ends, rest in tokens_of(html):
+            got += [("text", c) for c in text] if text is not None else [(tag, ends, rest)]
+        assert got == tokens_by_hand(html), html
 
 
 def test_archives_read_back(spark, tmp_path):
