@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 from tests import market
 from tidegauge.operators import filings, identity, positions, reads
 from tidegauge.params import Params
-from tidegauge.plans.model import STEPS, Model
+from tidegauge.plans.model import STEPS, Model, fingerprint
 from tidegauge.sources import archives
 from tidegauge.sources import filings as files
 
@@ -192,6 +192,45 @@ def test_new_tickers_rebuild_only_what_reads_them(spark, built):
     assert before[market.INDEX.code] == "etf" and after[market.INDEX.code] == "other"
 
 
+def test_refresh_builds_only_what_changes(spark, built):
+    raw = built.raw | {n: spark.createDataFrame([], s) for n, s in EMPTY.items()}
+    model = Model(spark, dict(raw), built.path + "/refreshed", SMALL, tables=dict(built.tables))
+    for name in ("stock_periods", "quarter_prices", "stock_cash_flows"):
+        model.table(name)
+    held = dict(model.tables)
+    answers = raw["openfigi"]
+    assert model.refresh({"openfigi": answers.repartition(3).select(*reversed(answers.columns))}) == set()
+    assert model.tables == held
+    # An answer for a code that nobody holds changes stocks' input, not stocks.
+    extra = answers.limit(1).withColumn("cusip", F.lit("999999999"))
+    assert model.refresh({"openfigi": answers.unionByName(extra)}) == {"openfigi"}
+    assert model.tables == held
+    none = spark.createDataFrame([], answers.schema)
+    changed = model.refresh({"openfigi": none})
+    assert {"openfigi", "stocks", "stock_periods"} <= changed <= {"openfigi", "stocks", "stock_periods", "stock_cash_flows_history", "stock_prices"}
+    others = {n: t for n, t in held.items() if not n.startswith("stock") or n == "stock_keys"}
+    whole = Model(spark, raw | {"openfigi": none}, built.path + "/whole", SMALL, tables=others)
+    for name, old in held.items():
+        if name in ("stocks", "stock_periods"):
+            assert fingerprint(model.table(name)) == fingerprint(whole.table(name)) != fingerprint(old)
+        else:
+            assert model.table(name) is old
+    # One that breaks off changes nothing, and is done when repeated.
+    after = dict(model.tables)
+    with pytest.raises(AnalysisException):
+        model.refresh({"openfigi": answers, "ticker_fallbacks": spark.createDataFrame([], "other int")})
+    assert model.tables == after and model.raw["openfigi"] is none
+    assert {"stocks", "stock_periods"} <= model.refresh({"openfigi": answers})
+    assert sorted(model.table("stocks").collect()) == sorted(held["stocks"].collect())
+
+
+def test_fingerprints_tell_tables_apart(spark):
+    of = lambda rows, schema="a string, b string": fingerprint(spark.createDataFrame(rows, schema))
+    assert of([("x", None), ("y", "z")]) == of([("y", "z"), ("x", None)])
+    others = [[("x", None)], [(None, "x")], [("x", None)] * 2, [("x", "")], []]
+    assert len({of(rows) for rows in others} | {of([], "a string, b int"), of([], "a string")}) == 7
+
+
 def amended(spark, rows):
     """Submissions (accession, role, filing day) of one manager and quarter, and the parts in use."""
     subs = spark.createDataFrame(

@@ -84,13 +84,21 @@ STEPS: dict[str, Step] = {
     "stock_prices": Step(prices.stock_prices, ("stocks", "quarter_prices", "market_days", "periods"), None, True),
 }
 
-# What a new ticker or kind changes: stocks and everything read through them.
+# What is looked at after new tickers: stocks, facts and prices, and everything read through them.
 AFTER_TICKERS = (
     "stocks", "stock_periods", "fundamentals_history", "fundamentals", "cover_history", "stock_cash_flows_history",
     "stock_cash_flows", "quarter_prices", "market_days", "stock_prices",
 )
 
 
+def fingerprint(df: DataFrame) -> tuple:
+    """Of a table's columns and rows, whatever their order: one aggregate, combined before its shuffle.
+    Rows are hashed as text with nulls spelled out, and hashes summed, so that repeated rows count."""
+    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    hashes = [F.sum(F.xxhash64(F.lit(salt), row).cast("decimal(20,0)")) for salt in ("one", "two")]
+    return (*sorted(df.dtypes), *df.agg(F.count(F.lit(1)), *hashes).first())
+
+
 def after_first(pairs: DataFrame, periods: DataFrame) -> DataFrame:
     """Position pairs of the periods that have one before them."""
     dated = F.broadcast(periods.where(F.col("prev_period").isNotNull()).select("period"))
@@ -183,10 +191,35 @@ class Model:
         self.build_tables()
         return {name: self.table(name).count() for name in STEPS}
 
-    def rebuild_after_tickers(self, openfigi: DataFrame, ticker_fallbacks: DataFrame) -> dict[str, int]:
-        """New identifier answers: only what reads stocks is built again, the rest stays as written."""
-        self.raw = {**self.raw, "openfigi": openfigi, "ticker_fallbacks": ticker_fallbacks}
+    def refresh(self, raw: dict[str, DataFrame]) -> set[str]:
+        """Take new raw tables, and build again only what they change; names of all that changed.
+
+        A step runs again if a table it needs has other rows than before (in any order). Where it then
+        gives the rows it gave before, its written table is kept and nothing behind it runs. Tables not
+        built so far are left to their first use. A refresh that breaks off leaves the model as it was."""
+        before = self.raw, dict(self.tables), dict(self.folders), self.generation
+        changed = {n for n, new in raw.items() if n not in self.raw or fingerprint(new) != fingerprint(self.raw[n])}
+        self.raw = {**self.raw, **raw}
         self.generation = uuid.uuid4().hex
-        for name in AFTER_TICKERS:
-            self.tables.pop(name, None)
+        try:
+            for name, step in STEPS.items():
+                if changed.isdisjoint(step.needs):
+                    continue
+                old, folder = self.tables.pop(name, None), self.folders.pop(name, None)
+                if old is not None and fingerprint(self.table(name)) == fingerprint(old):
+                    self.tables[name] = old
+                    if folder:
+                        self.folders[name] = folder
+                    else:
+                        del self.folders[name]
+                else:
+                    changed.add(name)
+        except BaseException:
+            self.raw, self.tables, self.folders, self.generation = before
+            raise
+        return changed
+
+    def rebuild_after_tickers(self, openfigi: DataFrame, ticker_fallbacks: DataFrame) -> dict[str, int]:
+        """New identifier answers: what reads stocks is built again where its rows change; rows per table."""
+        self.refresh({"openfigi": openfigi, "ticker_fallbacks": ticker_fallbacks})
         return {name: self.table(name).count() for name in AFTER_TICKERS}
