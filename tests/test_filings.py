@@ -520,3 +520,16 @@ def test_tsv_columns_may_come_in_another_order(spark, tmp_path):
     assert [(r["source_zip"], r["loaded"], r["expected"]) for r in short.collect()] == [("one", 1, 2)]
     with pytest.raises(ValueError, match="rows"):
         files.require_empty(short, "rows differ from the file's lines")
+
+
+def test_weights_are_rounded_as_the_numbers_they_are(spark):
+    from tidegauge.sources.sinks import book_csv_rows
+
+    weights = [1 / 128, 3 / 128, 0.1234565, 0.0000005, 0.0000015, 0.25, 1.0]
+    rows = [(i, w, "A", None, None, None, "c", "stock", 1, 1.0, 1.0, "hold", 0.0, "p") for i, w in enumerate(weights)]
+    book = spark.createDataFrame(
+        rows,
+        "cik int, weight_now double, name_filed string, name_mixed string, ticker string, title_of_class string, cusip string, "
+        "kind string, value_now bigint, shares_now double, shares_prev double, action string, flow double, period string",
+    )
+    assert [r["weight"] for r in book_csv_rows(book).orderBy("cik").collect()] == [f"{w:.6f}" for w in weights]
