@@ -148,3 +148,13 @@ def test_hand_kept_lists(spark, tmp_path):
     (tmp_path / "r.csv").write_text("ticker,cusip,period,filings,shares_excl_options,value_excl_options_usd\nA,x,2024Q2,10,20,30\n")
     row = lists.scan_reference_holdings(spark, str(tmp_path / "r.csv")).first()
     assert (str(row["period"]), row["filings"], row["shares"], row["value"]) == ("2024-06-30", 10, 20, 30)
+
+
+def test_tables_are_written_as_they_come(spark, tmp_path):
+    from tidegauge.sources.tables import write_table
+
+    rows = spark.range(300).repartition(3)
+    as_planned = write_table(rows, str(tmp_path / "as-planned"), rebalance=False)
+    assert len(as_planned.inputFiles()) == 3
+    assert sorted(r["id"] for r in as_planned.collect()) == list(range(300))
+    assert len(write_table(rows, str(tmp_path / "shaped")).inputFiles()) == 1
