@@ -37,6 +37,8 @@ _TURN = [int(_draw.integers(0, 2**64, dtype=np.uint64)) | 1]
 for _ in range(5):
     _TURN.append(_TURN[-1] * _TURN[-1] % 2**64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The bits of a least hash that make a key. Keys are moved most of all; two strings that share one by chance only meet.
+KEPT = np.uint64((1 << 40) - 1)
 
 
 def _least_hashes(part: np.ndarray) -> np.ndarray:
@@ -71,7 +73,7 @@ def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     if group:
         found.append(_pieces_of_group(group))
     which, start, count, key = (np.concatenate(c) for c in zip(*found, strict=True))
-    return which, start, count, key.view(np.int64)
+    return which, start, count, (key & KEPT).view(np.int64)
 
 
 def _pieces_of_group(group: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,6 +111,9 @@ def shared_keys(docs: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
             nth = np.arange(len(keys)) - np.repeat(first, np.diff(first, append=len(keys)))
             share = np.where(nth < SHOWN, 0, 1 + (owners % DEALT)).astype(np.int32)
+            # Rows of one document follow each other, which shuffles compress better.
+            order = np.argsort(owners, kind="stable")
+            keys, owners, share = keys[order], owners[order], share[order]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners), pa.array(share)], names=["key", "doc_id", "share"])
 
     long = docs.where((F.octet_length("text") >= SPAN) & F.col("doc_id").isNotNull()).select("doc_id", "text")
@@ -296,7 +301,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, kept: bool = True) ->
     listed = staged(listed, "listed")
     cut = texts.join(listed, "doc_id").mapInArrow(_cut, "doc_id long, of_text int, at long, name long, key long, piece binary")
     found = cut.where("piece is not null").select("key", "doc_id", "piece").repartition("key").sortWithinPartitions("key")
-    firsts_of = found.mapInArrow(_repeats, "name long, start long, count long, first long")
+    # Written, so that the pieces are gone from the disk before what is known of them is joined.
+    firsts_of = staged(found.mapInArrow(_repeats, "name long, start long, count long, first long"), "firsts")
     spans = (
         cut.select("name", "doc_id", "of_text", "at")
         .join(firsts_of, "name")
