@@ -132,5 +132,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     groups = near_copies(marked.select("doc_id", value), value, lambda _: links_alike(marked, value, keys))
     stays = groups.where(F.col(value) == F.col("stays")).select(F.col("stays"), F.col("component_id").alias("stays_id"))
     kept = marked.join(stays, (marked[value] == stays["stays"]) & marked["doc_id"].eqNullSafe(stays["stays_id"]), "left_semi")
+    # Only repeated rows are ranked, so that other texts stay where they are.
+    times = staged(kept.groupBy(value).agg(F.count(F.lit(1)).alias(place)).where(F.col(place) > 1).select(value), "repeated")
     first = Window.partitionBy(value).orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(value, keys, place)
+    several = kept.join(times, value, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return kept.join(times, value, "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))

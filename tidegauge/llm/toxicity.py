@@ -24,6 +24,8 @@ WORD = re.compile(r"\w+")
 SHORTEST, LONGEST = 3, 6
 #: Distinct words a task remembers before it starts afresh.
 REMEMBERED = 200_000
+#: Words cut into subwords at once.
+SLICE = 20_000
 
 
 @dataclass(frozen=True)
@@ -102,10 +104,7 @@ def train(rows: Iterable[tuple[dict[str, int], int]], params: ToxicityParams) ->
     share = float(np.mean(labels)) if labels else 0.5
     if share in (0.0, 1.0) or not labels:
         return ToxicityModel(np.zeros(size, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    buckets, owners = subwords(list(vocabulary), params.bits)
-    order = np.argsort(owners, kind="stable")
-    buckets = buckets[order]
-    lengths = np.bincount(owners, minlength=len(vocabulary))
+    buckets, lengths = _subwords_of_all(list(vocabulary), params.bits)
     ends = np.cumsum(lengths)
 
     def of_row(bag: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +115,11 @@ def train(rows: Iterable[tuple[dict[str, int], int]], params: ToxicityParams) ->
         distinct, back = np.unique(buckets[at], return_inverse=True)
         return distinct.astype(np.int32), np.bincount(back, np.repeat(part / n, n)).astype(np.float32)
 
-    features = [of_row(b) for b in bags if len(b[0])]
     labels = [y for b, y in zip(bags, labels, strict=True) if len(b[0])]
-    kept = _telling(features, labels, size, params)
-    features = [(d[keep], s[keep]) for d, s in features for keep in [kept[d]]]
+    bags = [b for b in bags if len(b[0])]
+    # Rows are spelled out twice, one at a time: what all their subwords take together is far more than what is kept.
+    kept = _telling((of_row(b)[0] for b in bags), labels, size, params)
+    features = [(d[keep], s[keep]) for d, s in map(of_row, bags) for keep in [kept[d]]]
 
     rng = np.random.default_rng(params.seed)
     table = (rng.normal(size=(size, params.dims)) * 0.1).astype(np.float32)
@@ -150,11 +150,22 @@ def train(rows: Iterable[tuple[dict[str, int], int]], params: ToxicityParams) ->
     return ToxicityModel((table @ (weight[:, 1] - weight[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def _telling(features: list, labels: list[int], size: int, params: ToxicityParams) -> np.ndarray:
-    """Buckets whose rows differ between the labels by min_z standard errors or more. All others would
-    only be learnt by heart: there are far more subwords than labelled rows."""
+def _subwords_of_all(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, those of one word together, and how many each word has; in slices of a bounded size."""
+    found, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), SLICE):
+        some = words[i : i + SLICE]
+        buckets, owners = subwords(some, bits)
+        found.append(buckets[np.argsort(owners, kind="stable")].astype(np.int32))
+        lengths.append(np.bincount(owners, minlength=len(some)))
+    return np.concatenate(found), np.concatenate(lengths)
+
+
+def _telling(rows_of: Iterable[np.ndarray], labels: list[int], size: int, params: ToxicityParams) -> np.ndarray:
+    """Buckets (of the distinct ones of each row) whose rows differ between the labels by min_z standard errors or more.
+    All others would only be learnt by heart: there are far more subwords than labelled rows."""
     seen = np.zeros((2, size))
-    for (distinct, _), label in zip(features, labels, strict=True):
+    for distinct, label in zip(rows_of, labels, strict=True):
         seen[label, distinct] += 1
     rows = np.bincount(labels, minlength=2)[:, None]
     share = seen.sum(axis=0) / rows.sum()
@@ -172,8 +183,8 @@ class Scorer:
 
     def learn(self, words: list[str]) -> None:
         """Numbers of words not met before, in slices of a bounded size."""
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
+        for i in range(0, len(words), SLICE):
+            some = words[i : i + SLICE]
             buckets, owners = subwords(some, self.bits)
             sums = np.bincount(owners, self.model.weights[buckets], len(some)) / np.bincount(owners, minlength=len(some))
             self.known.update(zip(some, sums.tolist(), strict=True))
