@@ -280,6 +280,42 @@ def test_roles_and_multipliers(spark):
     assert [rows[a]["value_multiplier"] for a in "12"] == [1000, 1]
 
 
+def planned(spark, threshold, build):
+    """The plan of `build()` where tables of up to `threshold` bytes are broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, threshold)
+    try:
+        return build()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_names_need_only_reports_of_latest_periods(spark, tmp_path):
+    def written(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    many = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("accession"), (F.col("id") < 2).alias("new"))
+    day = F.when(F.col("new"), F.lit("2024-03-31")).otherwise("2023-12-31").cast("date")
+    parts = written(many.select("accession", day.alias("period")), "parts")
+    lines = written(
+        many.select(
+            F.col("accession").alias("ACCESSION_NUMBER"), F.lit("037833100").alias("CUSIP"), F.lit("A").alias("NAMEOFISSUER"),
+            F.lit("COM").alias("TITLEOFCLASS"), F.lit("").alias("FIGI"), F.lit("SH").alias("SSHPRNAMTTYPE"), F.lit("").alias("PUTCALL"),
+        ),
+        "lines",
+    )
+    holders = written(
+        spark.createDataFrame([("037833100", "2023-12-31", 9), ("037833100", "2024-03-31", 2)], "cusip string, period string, funds int")
+        .withColumn("period", F.col("period").cast("date")).coalesce(1), "holders",
+    )
+    build = lambda: identity.spelled_names(holders, parts, lines)
+    # The reports are too many to broadcast, those of the latest period are few: the lines stay where they are.
+    assert "hashpartitioning(accession" not in planned(spark, "100000", build)
+    assert [(r["latest_period"].isoformat(), r["name"], r["n"]) for r in build().collect()] == [("2024-03-31", "A", 2)]
+
+
 def test_the_price_check(spark):
     sums = spark.createDataFrame(
         [(c, "X", 100, v) for c, v in ((1, 1000), (2, 1000), (3, 1000), (4, 5000), (5, 1), (6, 200))],
