@@ -291,6 +291,26 @@ def planned(spark, threshold, build):
         spark.conf.set(key, before)
 
 
+def test_filings_are_moved_once(spark):
+    raw = spark.createDataFrame(
+        [("1", "02-JAN-2023", "13F-HR", "7", "30-SEP-2022", "y"), ("2", "03-JAN-2023", "13F-HR", "8", "30-SEP-2022", "y"),
+         ("3", "03-JAN-2023", "13F-HR", "9", "30-SEP-2022", None)],
+        "ACCESSION_NUMBER string, FILING_DATE string, SUBMISSIONTYPE string, CIK string, PERIODOFREPORT string, source_zip string",
+    )
+    cover = spark.createDataFrame(
+        [("1", None, None, None, "Y", "y"), ("1", None, None, None, "Z", "z"), ("2", None, None, None, "X", "x"), ("4", None, None, None, "W", "w")],
+        "ACCESSION_NUMBER string, AMENDMENTTYPE string, AMENDMENTNO string, REPORTTYPE string, FILINGMANAGER_NAME string, source_zip string",
+    )
+    totals = spark.createDataFrame(
+        [("1", "4", "100", "y"), ("1", "5", "200", "z")], "ACCESSION_NUMBER string, TABLEENTRYTOTAL string, TABLEVALUETOTAL string, source_zip string"
+    )
+    build = lambda: filings.submissions(raw, cover, totals)
+    rows = {r["accession"]: (r["cik"], r["manager_name"], r["table_entry_total"]) for r in build().collect()}
+    # What another source says of a filing doesn't count, nor a cover without a submission.
+    assert rows == {"1": (7, "Y", 4), "2": (8, None, None), "3": (9, None, None)}
+    assert planned(spark, "-1", build).count("Exchange hashpartitioning") == 1
+
+
 def test_names_need_only_reports_of_latest_periods(spark, tmp_path):
     def written(df, name):
         df.write.parquet(f"{tmp_path}/{name}")
