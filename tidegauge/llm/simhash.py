@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import free_name, per_batch, staged
+from tidegauge.llm.common import free_name, per_batch, staged, where_few
 from tidegauge.llm.components import components
 from tidegauge.llm.shingles import links_alike, with_keys
 
@@ -130,10 +130,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     value, keys, place = free_name(docs, "whole"), free_name(docs, "keys"), free_name(docs, "place")
     marked = staged(with_keys(docs, value, keys), "marked")
     groups = near_copies(marked.select("doc_id", value), value, lambda _: links_alike(marked, value, keys))
-    stays = groups.where(F.col(value) == F.col("stays")).select(F.col("stays"), F.col("component_id").alias("stays_id"))
-    kept = marked.join(stays, (marked[value] == stays["stays"]) & marked["doc_id"].eqNullSafe(stays["stays_id"]), "left_semi")
+    rows = marked.select("doc_id", value).join(groups, value)
+    stays = (F.col(value) == F.col("stays")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # The rows that go hold no text and are often few: then the texts need not move to meet them.
+    gone = staged(rows.where(~stays).select(F.col(value).alias("whole_gone"), F.col("doc_id").alias("id_gone")).distinct(), "gone")
+    kept = marked.join(where_few(gone), (marked[value] == gone["whole_gone"]) & marked["doc_id"].eqNullSafe(gone["id_gone"]), "left_anti")
     # Only repeated rows are ranked, so that other texts stay where they are.
-    times = staged(kept.groupBy(value).agg(F.count(F.lit(1)).alias(place)).where(F.col(place) > 1).select(value), "repeated")
+    times = staged(rows.where(stays).groupBy(value).agg(F.count(F.lit(1)).alias(place)).where(F.col(place) > 1).select(value), "repeated")
+    times = where_few(times)
     first = Window.partitionBy(value).orderBy(F.xxhash64("text"), "text")
     several = kept.join(times, value, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
     return kept.join(times, value, "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
