@@ -3,7 +3,9 @@ import io
 import itertools
 import random
 import zipfile
+import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -12,7 +14,7 @@ from tests import market
 from tidegauge.operators import filings, identity, positions, reads
 from tidegauge.params import Params
 from tidegauge.plans.model import STEPS, Model, fingerprint
-from tidegauge.sources import archives
+from tidegauge.sources import archives, zip_pieces
 from tidegauge.sources import filings as files
 
 SMALL = Params(median_min_funds=10, min_funds=10, change_min_funds=10, change_min_moved=10, min_positions=2)
@@ -589,3 +591,54 @@ def test_weights_are_rounded_as_the_numbers_they_are(spark):
         "kind string, value_now bigint, shares_now double, shares_prev double, action string, flow double, period string",
     )
     assert [r["weight"] for r in book_csv_rows(book).orderBy("cik").collect()] == [f"{w:.6f}" for w in weights]
+
+
+def crowded_zips(folder, lines=20_000):
+    """The market's archives, the first with so many lines of one filing."""
+
+    def change(quarter, rows):
+        if quarter == 0:
+            rows["INFOTABLE"] += [["M0001Q0", 100 + n, "ALDER", "COM", "10A000101", "", n, n, "SH", ""] for n in range(lines)]
+
+    market.write_zips(folder, change)
+
+
+def rows_moved(spark):
+    """Rows written to shuffles so far in this session."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    none, gateway = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway
+    stages = context.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_scanned_lines_stay_in_the_task_that_reads_them(spark, tmp_path):
+    crowded_zips(tmp_path)
+    before = rows_moved(spark)
+    assert len(files.scan_zip_members(spark, str(tmp_path), "INFOTABLE", ["VALUE"]).collect()) > 20_000
+    assert rows_moved(spark) - before < 100
+
+
+def test_loaded_lines_stay_in_the_task_that_reads_them(spark, tmp_path):
+    crowded_zips(tmp_path / "in")
+    before = rows_moved(spark)
+    added, ragged = files.load_archives(spark, str(tmp_path / "in"), str(tmp_path / "tables"), F.lit("2025-01-01"))
+    assert max(r["row_count"] for r in added.collect()) > 20_000 and ragged.isEmpty()
+    assert rows_moved(spark) - before < 2_000  # before: every line, several times
+    assert spark.read.parquet(str(tmp_path / "tables" / "raw_infotable")).count() > 20_000
+
+
+def test_archives_are_packed_from_pieces_of_bounded_size(tmp_path, monkeypatch):
+    monkeypatch.setattr(zip_pieces, "HELD_BYTES", 2_000)
+    lines = [(f"{n % 3}.zip", f"{n}\tx".encode()) for n in range(3_000)]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], names=["source_zip", "line"])
+    pieces = [p for b in zip_pieces.pieces_of((batch(lines[i : i + 100]) for i in range(0, 3_000, 100)), 1) for p in b.to_pylist()]
+    assert all(len(zlib.decompress(p["deflated"])) < 3_000 for p in pieces) and len(pieces) > 10
+    ordered = sorted(pieces, key=lambda p: (p["source_zip"], p["place"]))
+    made = zip_pieces.archives_of(iter([pa.RecordBatch.from_pylist(ordered)]), str(tmp_path), [("data/a.tsv", b"A"), ("data/b.tsv", b"N\tX")])
+    assert [r["source_zip"] for b in made for r in b.to_pylist()] == ["0.zip", "1.zip", "2.zip"] == sorted(p.name for p in tmp_path.iterdir())
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip") as archive:
+            assert archive.read("data/a.tsv") == b"A\n"
+            head, *rest = archive.read("data/b.tsv").splitlines()
+            assert head == b"N\tX" and sorted(rest) == sorted(line for source, line in lines if source == f"{k}.zip")
